@@ -1,0 +1,43 @@
+"""Cutting the lineage of intermediate tables that are read more than once."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    folder = tempfile.mkdtemp(prefix="utterscope-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def materialize(frame: DataFrame, name: str) -> DataFrame:
+    """Write ``frame`` to the shared folder and read it back.
+
+    The result survives the loss of executors, is computed once, and its row count and size cost
+    next to nothing to ask for.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/utterscope/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def vector_table_bytes(vectors: DataFrame, column: str) -> tuple[int, int]:
+    """Row count of a materialized table and a bound for the bytes of its rows in memory."""
+    row = vectors.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(column)), F.lit(0)).alias("values")
+    ).first()
+    return row["n"], 8 * row["values"] + 256 * row["n"]

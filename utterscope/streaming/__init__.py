@@ -1,0 +1 @@
+"""Intentionally empty: every operator here is a batch over stored reports and corpora."""

@@ -19,8 +19,8 @@ KEPT_CLASS = r"\p{L}\p{N}_"
 
 DROPPED_PATTERN = f"[^{KEPT_CLASS}{WHITESPACE_CLASS}]"
 SPLIT_PATTERN = f"[{WHITESPACE_CLASS}]+"
-EDGE_PATTERN = f"^[{WHITESPACE_CLASS}]+|[{WHITESPACE_CLASS}]+$"
-QUOTE_EDGE_PATTERN = '^"+|"+$'
+EDGE_PATTERN = rf"\A[{WHITESPACE_CLASS}]+|[{WHITESPACE_CLASS}]+\z"
+QUOTE_EDGE_PATTERN = r'\A"+|"+\z'
 
 
 def clean_text(text: Column) -> Column:

@@ -80,3 +80,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled embeddings in two splits."""
     return _view(spark, sf_dir, "embeddings", EMB_SQL)
+
+
+REPORT_PATHS_SQL = """
+  select concat('/reports/', replace(source, ' ', '-'), '-', lang, '_', cast(doc_id % 7 as varchar(20)),
+    '_results.csv') as path
+  from documents
+"""
+
+
+def report_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of report files named after source and language of a document."""
+    return _view(spark, sf_dir, "documents", REPORT_PATHS_SQL)

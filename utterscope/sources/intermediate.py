@@ -18,9 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="utterscope-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="utterscope-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialize(frame: DataFrame, name: str) -> DataFrame:

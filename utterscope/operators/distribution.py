@@ -20,27 +20,41 @@ SMOOTHING = 1e-9
 KURTOSIS_MIN_COUNT = 3
 
 
-def lengths(corpus: DataFrame) -> DataFrame:
-    """One row per measured length: tokens per text (``sentence``) and characters per token (``word``)."""
+def histogram(corpus: DataFrame, test: str = "test", train: str = "train") -> DataFrame:
+    """``label, kind, x, n_test, n_train`` over every length that occurs in either split.
+
+    A ``sentence`` length is the number of tokens of a text, a ``word`` length the number of
+    characters of a token.
+    """
     texts = corpus.where(F.col("text").isNotNull()).select(
         "split", "label", tokens(F.col("text")).alias("tokens")
     )
-    sentence = F.struct(F.lit(SENTENCE).alias("kind"), F.size("tokens").alias("x"))
-    words = F.transform(
-        "tokens", lambda t: F.struct(F.lit(WORD).alias("kind"), F.char_length(t).alias("x"))
+    words = texts.select(
+        "split",
+        "label",
+        F.size("tokens").alias("size"),
+        F.posexplode_outer("tokens").alias("pos", "token"),
+    )
+    # The first row of a text also carries its sentence length, so one pass over the tokens counts
+    # both kinds without building an array of lengths.
+    first = F.coalesce("pos", F.lit(0)) == 0
+    pairs = words.groupBy(
+        "label",
+        F.when(first, F.col("size")).alias("sentence"),
+        F.char_length("token").alias("word"),
+    ).agg(
+        count_where(F.col("split") == test).alias("n_test"),
+        count_where(F.col("split") == train).alias("n_train"),
+    )
+    kinds = F.array(
+        F.struct(F.lit(SENTENCE).alias("kind"), F.col("sentence").alias("x")),
+        F.struct(F.lit(WORD).alias("kind"), F.col("word").alias("x")),
     )
-    return texts.select("split", "label", F.inline(F.concat(F.array(sentence), words)))
-
-
-def histogram(corpus: DataFrame, test: str = "test", train: str = "train") -> DataFrame:
-    """``label, kind, x, n_test, n_train`` over every length that occurs in either split."""
     return (
-        lengths(corpus)
+        pairs.select("label", F.inline(kinds), "n_test", "n_train")
+        .where(F.col("x").isNotNull())
         .groupBy("label", "kind", "x")
-        .agg(
-            count_where(F.col("split") == test).alias("n_test"),
-            count_where(F.col("split") == train).alias("n_train"),
-        )
+        .agg(F.sum("n_test").alias("n_test"), F.sum("n_train").alias("n_train"))
     )
 
 

@@ -6,12 +6,7 @@ operators compute them.
 
 from __future__ import annotations
 
-from utterscope.functions.text import (
-    DROPPED_PATTERN,
-    EDGE_PATTERN,
-    QUOTE_EDGE_PATTERN,
-    SPLIT_PATTERN,
-)
+from utterscope.functions.text import DROPPED_PATTERN, SPLIT_PATTERN, WHITESPACE_CLASS
 from utterscope.plans import queries as q
 from utterscope.plans.views import BATCH_SQL, CORPUS_SQL, EMB_SQL, ENT_SQL, REPORT_PATHS_SQL
 
@@ -227,8 +222,9 @@ _VECTOR_WEIGHTS = "[" + ", ".join(f"{w}::double" for w in q.VECTOR_WEIGHTS) + "]
 
 
 def _stripped(expression: str) -> str:
-    bare = f"regexp_replace({expression}, '{EDGE_PATTERN}', '', 'g')"
-    return f"regexp_replace({bare}, '{QUOTE_EDGE_PATTERN}', '', 'g')"
+    space = f"[{WHITESPACE_CLASS}]+"
+    bare = f"regexp_replace({expression}, '^{space}|{space}$', '', 'g')"
+    return f"""regexp_replace({bare}, '^"+|"+$', '', 'g')"""
 
 
 ORACLE: dict[str, str] = {

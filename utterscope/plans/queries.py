@@ -25,7 +25,7 @@ from utterscope.operators import (
 )
 from utterscope.plans import views
 from utterscope.sources import files, reports
-from utterscope.sources.intermediate import materialize
+from utterscope.sources.intermediate import materialize, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,7 +110,7 @@ def _projected(emb: DataFrame, cents: DataFrame) -> DataFrame:
 
 
 def _report_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = views.table(spark, sf_dir, "documents")
+    documents = spread(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return reports.key_values(reports.text_lines(documents, "doc_id", "text"))
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from utterscope.sources.intermediate import spread
 
 # Plain SQL that Spark and DuckDB both run on the tables of the same names. The SQL checks prefix
 # their statements with these views, so both sides start from the same rows.
@@ -74,7 +75,7 @@ def ent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled corpus: the language is the label, the document number gives the split."""
-    return _view(spark, sf_dir, "documents", CORPUS_SQL)
+    return spread(_view(spark, sf_dir, "documents", CORPUS_SQL))
 
 
 def emb(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,16 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core work on a scan that has fewer partitions than the cluster has cores.
+
+    Meant for small or unsplittable inputs ahead of expensive expressions. A large splittable scan
+    is returned as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def vector_table_bytes(vectors: DataFrame, column: str) -> tuple[int, int]:
     """Row count of a materialized table and a bound for the bytes of its rows in memory."""
     row = vectors.agg(

@@ -27,7 +27,7 @@ WHITESPACE = "".join(
 # The same two classes behind cheap range tests, in Java syntax: nearly every character of a text is
 # a plain letter or a space and gets decided by the ranges alone.
 _FAST_DROPPED = (
-    r"[\x{21}-\x{2f}\x{3a}-\x{5e}\x{60}\x{7b}-\x{10ffff}&&" + DROPPED_PATTERN + "]"
+    r"[\x{00}-\x{1f}\x{21}-\x{2f}\x{3a}-\x{5e}\x{60}\x{7b}-\x{10ffff}&&" + DROPPED_PATTERN + "]"
 )
 _FAST_ODD_SPACE = (
     r"[\x{09}-\x{1f}\x{85}-\x{a0}\x{1680}-\x{3000}&&[" + WHITESPACE_CLASS + "]]"

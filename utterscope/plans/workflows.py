@@ -36,7 +36,7 @@ def process_reports(spark: SparkSession, paths: Paths) -> Tables:
         "results": reports.results(split),
         "metadata": reports.key_values(lines),
         "preamble": lines.orderBy("report", "line_no"),
-        "rejects": reports.rejects(split, reports.report_manifest(spark, paths)),
+        "rejects": reports.rejects(split),
     }
 
 
@@ -74,14 +74,13 @@ def evaluate_reports(spark: SparkSession, paths: Paths) -> Tables:
     return {
         **intent_tables(results),
         **entity_tables(results, _usable_reports(spark, paths, split)),
-        "rejects": reports.rejects(split, reports.report_manifest(spark, paths)),
+        "rejects": reports.rejects(split),
     }
 
 
 def _usable_reports(spark: SparkSession, paths: Paths, split: DataFrame) -> DataFrame:
-    manifest = reports.report_manifest(spark, paths)
-    bad = reports.rejects(split, manifest).select("report")
-    return manifest.select("report").join(bad, "report", "left_anti")
+    known = reports.report_manifest(spark, paths).select("report")
+    return known.join(reports.rejects(split).select("report"), "report", "left_anti")
 
 
 def lexical_tables(corpus: DataFrame, manifest: DataFrame | None = None) -> Tables:

@@ -156,17 +156,12 @@ def results(split: DataFrame) -> DataFrame:
     return split.where(F.col("reject").isNull()).drop("reject")
 
 
-def rejects(split: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+def rejects(split: DataFrame) -> DataFrame:
     """``report, reject`` for the reports that could not be used.
 
-    A file without a single line leaves no trace in ``split``; pass the :func:`report_manifest` to
-    see it here too.
+    Spark does not scan files of zero bytes; they appear neither here nor in the manifest.
     """
-    bad = split.where(F.col("reject").isNotNull()).select("report", "reject")
-    if manifest is None:
-        return bad
-    blank = manifest.where(F.col("bytes") == 0).select("report", F.lit(NO_HEADER).alias("reject"))
-    return bad.unionByName(blank)
+    return split.where(F.col("reject").isNotNull()).select("report", "reject")
 
 
 def report_manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -26,14 +26,14 @@ def histogram(corpus: DataFrame, test: str = "test", train: str = "train") -> Da
     A ``sentence`` length is the number of tokens of a text, a ``word`` length the number of
     characters of a token.
     """
-    texts = corpus.where(F.col("text").isNotNull()).select(
-        "split", "label", tokens(F.col("text")).alias("tokens")
+    texts = (
+        corpus.where(F.col("text").isNotNull())
+        .select("split", "label", tokens(F.col("text")).alias("tokens"))
+        .withColumn("size", F.size("tokens"))
     )
+    # The size is a column of its own by now: the array itself must not travel with every token.
     words = texts.select(
-        "split",
-        "label",
-        F.size("tokens").alias("size"),
-        F.posexplode_outer("tokens").alias("pos", "token"),
+        "split", "label", "size", F.posexplode_outer("tokens").alias("pos", "token")
     )
     # The first row of a text also carries its sentence length, so one pass over the tokens counts
     # both kinds without building an array of lengths.

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utterscope.functions.vectors import as_doubles, dot
-from utterscope.operators.semantic import BY_SPLIT, label_sample
-from utterscope.sources.intermediate import BROADCAST_LIMIT_BYTES, vector_table_bytes
+from utterscope.operators.semantic import BY_SPLIT, attach_centroid, label_sample
+from utterscope.sources.intermediate import BROADCAST_LIMIT_BYTES
 
 COMPONENTS = 2
 
@@ -77,23 +77,26 @@ def project(
     The projection is linear, so the 2-D centroid is the projected centroid. ``cents`` must be a
     materialized table.
     """
-    small = cents.select(*by, plane.coordinates(F.col("centroid")).alias("c"))
-    if vector_table_bytes(cents, "centroid")[1] <= limit:
-        small = F.broadcast(small)
+    flat = cents.select(*by, _pair(plane.coordinates(F.col("centroid"))).alias("centroid"))
     points = emb.where(F.col("vec").isNotNull()).select(
         "id", *by, plane.coordinates(F.col("vec")).alias("p")
     )
-    return points.join(small, list(by)).select(
+    x, y, cx, cy = F.col("p.x"), F.col("p.y"), F.col("centroid")[0], F.col("centroid")[1]
+    return attach_centroid(points, flat, by, limit).select(
         "id",
         *by,
-        F.col("p.x").alias("x"),
-        F.col("p.y").alias("y"),
-        F.col("c.x").alias("centroid_x"),
-        F.col("c.y").alias("centroid_y"),
-        F.hypot(F.col("p.x") - F.col("c.x"), F.col("p.y") - F.col("c.y")).alias("distance"),
+        x.alias("x"),
+        y.alias("y"),
+        cx.alias("centroid_x"),
+        cy.alias("centroid_y"),
+        F.hypot(x - cx, y - cy).alias("distance"),
     )
 
 
+def _pair(point: Column) -> Column:
+    return F.array(point["x"], point["y"])
+
+
 def ranges(projected: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
     """``*by, x_min, x_max, y_min, y_max`` of a :func:`project` table."""
     return projected.groupBy(*by).agg(

@@ -27,7 +27,8 @@ MEDIAN_IN_MEMORY_ROWS = 1_000_000
 SALTS = 64
 
 
-def _positions(emb: DataFrame, by: Sequence[str], *extra: Column) -> DataFrame:
+def _positions(emb: DataFrame, by: Sequence[str], *extra: str) -> DataFrame:
+    # Expressions next to a generator run once per generated row: pass ready columns only.
     return emb.where(F.col("vec").isNotNull()).select(
         *by, *extra, F.posexplode("vec").alias("pos", "x")
     ).withColumn("x", F.col("x").cast("double"))
@@ -67,10 +68,9 @@ def cohesion(
     The mean of ``cos(x, c)`` equals the inner product of ``c / |c|`` with the mean of ``x / |x|``,
     so a single pass and no join with the centroids is enough.
     """
-    lengths = norm(F.col("vec")).alias("length")
     scaled = F.coalesce(F.try_divide(F.col("x"), F.col("length")), F.lit(0.0))
     means = (
-        _positions(emb, by, lengths)
+        _positions(emb.withColumn("length", norm(F.col("vec"))), by, "length")
         .groupBy(*by, "pos")
         .agg(F.avg("x").alias("c"), F.avg(scaled).alias("u"), F.count("x").alias("n"))
     )
@@ -264,7 +264,7 @@ def cross_split_similarity(
 
 
 def _split_products(emb: DataFrame, first: str, second: str) -> DataFrame:
-    sides = _positions(emb, ("label",), F.col("split")).groupBy("label", "pos").agg(
+    sides = _positions(emb, ("label",), "split").groupBy("label", "pos").agg(
         F.avg(F.when(F.col("split") == first, F.col("x"))).alias("a"),
         F.avg(F.when(F.col("split") == second, F.col("x"))).alias("b"),
     )
@@ -395,8 +395,7 @@ def _nearest_by_blocks(
         "label",
         unit(F.col("vec")).alias("vec"),
         F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    )
+    ).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     candidates = F.transform(
         "shelf",
         lambda c: F.struct(

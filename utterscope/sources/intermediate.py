@@ -44,6 +44,13 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def broadcast_if_small(
+    table: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES
+) -> DataFrame:
+    """Mark a materialized table for broadcast when its rows, of at most ``row_bytes``, fit ``limit``."""
+    return F.broadcast(table) if table.count() * row_bytes <= limit else table
+
+
 def vector_table_bytes(vectors: DataFrame, column: str) -> tuple[int, int]:
     """Row count of a materialized table and a bound for the bytes of its rows in memory."""
     row = vectors.agg(

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from utterscope.functions.text import strip, unquote
 from utterscope.sources.files import file_stem, model_name
+from utterscope.sources.intermediate import broadcast_if_small, materialize
 
 # The first cell of the header row, the columns of the result table with the names
 # used by the operators, and the suffix of the tables of a split report.
@@ -30,6 +31,7 @@ RESULT_COLUMNS = {
 RESULTS_SUFFIX = "_results"
 
 MAX_REPORT_COLUMNS = 64
+PATH_ROW_BYTES = 4096
 NO_HEADER = "no data header"
 TOO_WIDE = "more columns than max_columns"
 
@@ -196,6 +198,8 @@ def preamble(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     headers = (
         lines.where(first_cell == HEADER_CELL).groupBy("path").agg(F.min("at").alias("header_at"))
     )
+    # One row per report. Knowing its size up front keeps the lines from being shuffled to it.
+    headers = broadcast_if_small(materialize(headers, "headers"), PATH_ROW_BYTES)
     above = lines.join(headers, "path").where(F.col("at") < F.col("header_at"))
     # Only preamble lines are numbered here, a handful per report.
     earlier = F.row_number().over(Window.partitionBy("path").orderBy("at"))

@@ -13,10 +13,6 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     ).otherwise(F.lit(0.0))
 
 
-def f1_score(precision: Column, recall: Column) -> Column:
-    return ratio(2 * precision * recall, precision + recall)
-
-
 def count_where(condition: Column, weight: Column | None = None) -> Column:
     """Sum of ``weight`` (default 1) over the rows where ``condition`` is true; never null."""
     weight = F.lit(1) if weight is None else weight

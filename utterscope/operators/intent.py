@@ -10,13 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utterscope.functions.numeric import count_where, f1_score, ratio
-
 # The label of "no intent" and the names of the two average rows.
 NO_INTENT = "none"
 MICRO = "micro"
 MACRO = "macro"
 
+COUNTS = ["tp", "fp", "fn", "tn"]
 METRICS = ["precision", "recall", "f1", "support", "accuracy"]
 
 
@@ -59,121 +58,105 @@ def counts(results: DataFrame) -> DataFrame:
     the rule of a regular intent, as the micro average needs them, and ``total`` is the number of
     rows of the report.
     """
-    cube = _spelled_cube(results).select(
-        "report",
-        "expected",
-        F.lower("expected").alias("exp"),
-        F.lower("matched").alias("mat"),
-        F.col("result_type").alias("kind"),
-        "n",
+    cube = _spelled_cube(results).selectExpr(
+        "report", "expected", "lower(expected) as exp", "lower(matched) as mat", "result_type", "n"
     )
-    zero = F.lit(0).cast("long")
-    n = F.col("n")
-    wrong_match = ~F.col("exp").eqNullSafe(F.col("mat")) & (F.col("kind") == "FP")
-    # Every cube row counts for its expected and for its matched intent.
-    per_side = cube.select(
+    # Every cube row counts for its expected intent, for its matched intent, and for the report as a
+    # whole. The row of the whole holds the counts of the special rule of "no intent".
+    shares = cube.selectExpr(
         "report",
-        F.inline(
-            F.array(
-                F.struct(
-                    F.col("exp").alias("intent"),
-                    F.col("expected").alias("display"),
-                    F.when(F.col("kind") == "TP", n).otherwise(zero).alias("tp"),
-                    F.when(F.col("kind") == "FN", n).otherwise(zero).alias("fn"),
-                    zero.alias("fp"),
-                ),
-                F.struct(
-                    F.col("mat").alias("intent"),
-                    F.lit(None).cast("string").alias("display"),
-                    zero.alias("tp"),
-                    zero.alias("fn"),
-                    F.when(wrong_match, n).otherwise(zero).alias("fp"),
-                ),
-            )
-        ),
-    )
-    sides = (
-        per_side.where(F.col("intent") != "")
-        .groupBy("report", "intent")
-        .agg(
-            F.max("display").alias("display"),
-            F.sum("tp").alias("plain_tp"),
-            F.sum("fp").alias("plain_fp"),
-            F.sum("fn").alias("plain_fn"),
-        )
-        .where(F.col("display").isNotNull())
+        f"""inline(array(
+            struct(false as whole, exp as intent, expected as display,
+                   {_rows("result_type = 'TP'")} as tp, 0L as fp,
+                   {_rows("result_type = 'FN'")} as fn, 0L as tn, 0L as total),
+            struct(false as whole, mat as intent, cast(null as string) as display,
+                   0L as tp, {_rows("not exp <=> mat and result_type = 'FP'")} as fp,
+                   0L as fn, 0L as tn, 0L as total),
+            struct(true as whole, '' as intent, cast(null as string) as display,
+                   {_rows("exp = 'none' and result_type = 'TN'")} as tp,
+                   {_rows("not exp <=> 'none' and mat = 'none' and result_type = 'FN'")} as fp,
+                   {_rows("exp = 'none' and result_type = 'FP'")} as fn,
+                   {_rows("not exp <=> 'none' and not mat <=> 'none' and not result_type <=> 'FN'")} as tn,
+                   n as total)))""",
     )
-    exp_none = F.col("exp").eqNullSafe(NO_INTENT)
-    mat_none = F.col("mat").eqNullSafe(NO_INTENT)
-    totals = cube.groupBy("report").agg(
-        F.sum("n").alias("total"),
-        count_where(exp_none & (F.col("kind") == "TN"), n).alias("none_tp"),
-        count_where(~exp_none & mat_none & (F.col("kind") == "FN"), n).alias("none_fp"),
-        count_where(exp_none & (F.col("kind") == "FP"), n).alias("none_fn"),
-        count_where(~exp_none & ~mat_none & ~F.col("kind").eqNullSafe("FN"), n).alias("none_tn"),
+    summed = (
+        shares.where("whole or intent <> ''")
+        .groupBy("report", "whole", "intent")
+        .agg(F.max("display").alias("display"), *[F.sum(c).alias(c) for c in (*COUNTS, "total")])
+        .where("whole or display is not null")
     )
-    is_none = F.col("intent") == NO_INTENT
-    plain_tn = F.col("total") - (F.col("plain_tp") + F.col("plain_fp") + F.col("plain_fn"))
-    return sides.join(totals, "report").select(
-        "report",
-        "intent",
-        "display",
-        F.when(is_none, F.col("none_tp")).otherwise(F.col("plain_tp")).alias("tp"),
-        F.when(is_none, F.col("none_fp")).otherwise(F.col("plain_fp")).alias("fp"),
-        F.when(is_none, F.col("none_fn")).otherwise(F.col("plain_fn")).alias("fn"),
-        F.when(is_none, F.col("none_tn")).otherwise(plain_tn).alias("tn"),
-        "plain_tp",
-        "plain_fp",
-        "plain_fn",
-        "total",
+    # The window sees one row per intent.
+    return (
+        summed.selectExpr(
+            "*",
+            "max(total) over (partition by report) as rows",
+            "max(if(whole, struct(tp, fp, fn, tn), null)) over (partition by report) as special",
+        )
+        .where("not whole")
+        .selectExpr(
+            "report",
+            "intent",
+            "display",
+            f"""inline(array(if(intent = '{NO_INTENT}', special,
+                struct(tp, fp, fn, rows - tp - fp - fn as tn))))""",
+            "tp as plain_tp",
+            "fp as plain_fp",
+            "fn as plain_fn",
+            "rows as total",
+        )
     )
 
 
+def _rows(condition: str) -> str:
+    return f"if({condition}, n, 0L)"
+
+
+def _ratio(numerator: str, denominator: str) -> str:
+    return f"coalesce(double({numerator}) / nullif(double({denominator}), 0), 0d)"
+
+
 def metrics(results: DataFrame) -> DataFrame:
     """``report, intent, precision, recall, f1, support, accuracy, is_average``.
 
     One row per expected intent under its display name, plus a ``micro`` and a ``macro`` row per
     report. A report without any expected intent gives no rows.
     """
-    per_intent = counts(results)
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    scored = (
-        per_intent.withColumn("precision", ratio(tp, tp + fp))
-        .withColumn("recall", ratio(tp, tp + fn))
-        .withColumn("f1", f1_score(F.col("precision"), F.col("recall")))
-        .withColumn("support", (tp + fn).cast("double"))
-        .withColumn("accuracy", ratio(tp + tn, F.col("total")))
+    rates = counts(results).selectExpr(
+        "*", f"{_ratio('tp', 'tp + fp')} as precision", f"{_ratio('tp', 'tp + fn')} as recall"
+    )
+    scored = rates.selectExpr(
+        "*",
+        f"{_ratio('2 * precision * recall', 'precision + recall')} as f1",
+        "double(tp + fn) as support",
+        f"{_ratio('tp + tn', 'total')} as accuracy",
     )
     # One aggregation yields both levels: on the fine level a group is a single intent, so the
     # means are its own values; on the report level they are the macro average.
     levels = scored.groupingSets(
         [["report", "display"], ["report"]], "report", "display"
     ).agg(
-        F.grouping("display").alias("is_average"),
+        F.expr("grouping(display) = 1").alias("is_average"),
         *[F.avg(c).alias(c) for c in METRICS],
         F.sum("plain_tp").alias("tp"),
         F.sum("plain_fp").alias("fp"),
         F.sum("plain_fn").alias("fn"),
         F.max("total").alias("total"),
     )
-    tp, fp, fn, total = (F.col(c) for c in ("tp", "fp", "fn", "total"))
-    micro_p, micro_r = ratio(tp, tp + fp), ratio(tp, tp + fn)
-    micro = F.struct(
-        F.lit(MICRO).alias("intent"),
-        micro_p.alias("precision"),
-        micro_r.alias("recall"),
-        f1_score(micro_p, micro_r).alias("f1"),
-        (tp + fn).cast("double").alias("support"),
-        ratio(total - fp - fn, total).alias("accuracy"),
+    micro = levels.selectExpr(
+        "*", f"{_ratio('tp', 'tp + fp')} as micro_p", f"{_ratio('tp', 'tp + fn')} as micro_r"
     )
-    macro = F.struct(F.lit(MACRO).alias("intent"), *METRICS)
-    own = F.struct(F.col("display").alias("intent"), *METRICS)
-    is_average = F.col("is_average") == 1
-    return levels.select(
+    values = ", ".join(METRICS)
+    return micro.selectExpr(
         "report",
-        is_average.alias("is_average"),
-        F.inline(F.when(is_average, F.array(micro, macro)).otherwise(F.array(own))),
-    ).select("report", "intent", *METRICS, "is_average")
+        f"""inline(if(is_average,
+            array(struct('{MICRO}' as intent, micro_p as precision, micro_r as recall,
+                         {_ratio("2 * micro_p * micro_r", "micro_p + micro_r")} as f1,
+                         double(tp + fn) as support,
+                         {_ratio("total - fp - fn", "total")} as accuracy),
+                  struct('{MACRO}' as intent, {values})),
+            array(struct(display as intent, {values}))))""",
+        "is_average",
+    )
 
 
 def in_report_order(frame: DataFrame) -> DataFrame:

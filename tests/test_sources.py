@@ -173,6 +173,13 @@ def test_corpus(spark, corpora):
     assert rows(corpus.missing_files(found, manifest)) == [("test", "vacío")]
 
 
+def test_only_the_first_column_of_a_corpus_file_counts(spark, tmp_path):
+    (tmp_path / "two.csv").write_text('Text,Note\n"a, b",x\nc,\n,only note\n', encoding="utf-8")
+    for multi_line in (True, False):
+        found = corpus.read_folder(spark, str(tmp_path), multi_line=multi_line)
+        assert rows(found) == [("two", "a, b"), ("two", "c")]
+
+
 def test_corpus_workflow(spark, corpora, tmp_path):
     tables = workflows.analyze_corpus(spark, corpora["test"], corpora["train"])
     lexical = {(r.split, r.label): r.vocab_size for r in tables["intra_lexical"].collect()}

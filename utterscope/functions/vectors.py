@@ -30,18 +30,16 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def unit(vec: Column) -> Column:
     """The vector scaled to length one; a zero vector stays zero."""
-    length = norm(vec)
-    return F.transform(
-        vec, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0))
+    # An expression inside a lambda runs once per element. Repeating the length next to the elements
+    # has it computed once per vector.
+    lengths = F.array_repeat(norm(vec), F.size(vec))
+    return F.zip_with(
+        vec,
+        lengths,
+        lambda x, length: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)),
     )
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity, 0.0 when either vector is zero."""
-    lengths = norm(a) * norm(b)
-    return F.when(lengths > 0, dot(a, b) / lengths).otherwise(F.lit(0.0))
-
-
 def cosine_from_sums(ab: Column, aa: Column, bb: Column) -> Column:
     """Cosine similarity from the three inner products, 0.0 when either vector is zero."""
     lengths = F.sqrt(aa) * F.sqrt(bb)

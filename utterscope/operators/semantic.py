@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from utterscope.functions.vectors import cosine, cosine_from_sums, dot, euclidean, norm, unit
+from utterscope.functions.vectors import cosine_from_sums, dot, euclidean, norm, unit
 from utterscope.operators.quantiles import grouped_median
 from utterscope.sources.intermediate import BROADCAST_LIMIT_BYTES, materialize, vector_table_bytes
 
@@ -111,8 +111,13 @@ def row_similarity(
     limit: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """``id, *by, similarity``: cosine similarity of each row to the centroid of its group."""
-    joined = attach_centroid(emb.where(F.col("vec").isNotNull()), cents, by, limit)
-    return joined.select("id", *by, cosine(F.col("vec"), F.col("centroid")).alias("similarity"))
+    # Scaling the centroids first leaves two sums per row instead of three.
+    scaled = cents.withColumn("centroid", unit(F.col("centroid")))
+    joined = attach_centroid(emb.where(F.col("vec").isNotNull()), scaled, by, limit)
+    along, length = dot(F.col("vec"), F.col("centroid")), norm(F.col("vec"))
+    return joined.select(
+        "id", *by, F.coalesce(F.try_divide(along, length), F.lit(0.0)).alias("similarity")
+    )
 
 
 def cohesion_stats(

@@ -15,9 +15,11 @@ def read_folder(
     folder: str | list[str],
     extension: str = ".csv",
     skip_corrupt: bool = True,
+    multi_line: bool = True,
 ) -> DataFrame:
     """``label, text`` from the first column of every file; the file name gives the label.
 
+    Large files without quoted line breaks are read in parallel parts with ``multi_line=False``.
     A file that cannot be read is skipped; compare with :func:`read_manifest` and
     :func:`missing_files` to see which ones.
     """
@@ -25,7 +27,7 @@ def read_folder(
         spark.read.schema("text string")
         .option("header", True)
         .option("enforceSchema", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
@@ -47,11 +49,14 @@ def read_manifest(spark: SparkSession, folder: str | list[str], extension: str =
 
 
 def read_corpus(
-    spark: SparkSession, folders: dict[str, str | list[str]], extension: str = ".csv"
+    spark: SparkSession,
+    folders: dict[str, str | list[str]],
+    extension: str = ".csv",
+    multi_line: bool = True,
 ) -> DataFrame:
     """``split, label, text`` from one folder per split."""
     return _stack(
-        read_folder(spark, folder, extension).select(F.lit(split).alias("split"), "label", "text")
+        read_folder(spark, folder, extension, multi_line=multi_line).select(F.lit(split).alias("split"), "label", "text")
         for split, folder in folders.items()
     )
 

@@ -213,6 +213,8 @@ def test_projection_keeps_variance_and_centroids(spark):
     emb = views.emb(spark, MEDIUM)
     cents = materialize(semantic.centroids(emb, BY_LABEL), "test")
     plane = projection.fit(emb)
+    shortcut = projection.fit(emb, cents=cents)
+    assert shortcut.offsets == pytest.approx(plane.offsets) and shortcut.loadings == plane.loadings
     matrix = np.array([r.vec for r in emb.select("vec").collect()], dtype=np.float64)
     values = np.linalg.eigvalsh(np.cov(matrix.T))[::-1]
     assert plane.explained == pytest.approx((values[:2] / values.sum()).tolist())

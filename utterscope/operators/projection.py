@@ -35,11 +35,12 @@ class Projection:
         return F.struct(x.alias("x"), y.alias("y"))
 
 
-def fit(vectors: DataFrame, column: str = "vec") -> Projection:
+def fit(vectors: DataFrame, column: str = "vec", cents: DataFrame | None = None) -> Projection:
     """Fit the plane of greatest variance.
 
     Only a d-by-d covariance and the mean leave the executors. The sign of a component is fixed by
-    making its largest loading positive.
+    making its largest loading positive. ``cents``, the materialized centroids of the same rows,
+    saves the pass for the mean.
     """
     features = vectors.where(F.col(column).isNotNull()).select(
         array_to_vector(as_doubles(F.col(column))).alias("features")
@@ -48,18 +49,22 @@ def fit(vectors: DataFrame, column: str = "vec") -> Projection:
     loadings = model.pc.toArray().T
     signs = np.sign(loadings[np.arange(COMPONENTS), np.abs(loadings).argmax(axis=1)])
     loadings = loadings * signs[:, None]
-    mean = np.array(_mean(vectors, column))
+    one = F.lit(1)
+    mean = np.array(
+        _mean(vectors, column, one) if cents is None else _mean(cents, "centroid", F.col("n"))
+    )
     return Projection(
         loadings.tolist(), (loadings @ mean).tolist(), model.explainedVariance.toArray().tolist()
     )
 
 
-def _mean(vectors: DataFrame, column: str) -> list[float]:
+def _mean(vectors: DataFrame, column: str, weight: Column) -> list[float]:
+    weighted = vectors.where(F.col(column).isNotNull()).select(
+        weight.cast("double").alias("w"), F.posexplode(column).alias("pos", "x")
+    )
     means = (
-        vectors.where(F.col(column).isNotNull())
-        .select(F.posexplode(column).alias("pos", "x"))
-        .groupBy("pos")
-        .agg(F.avg(F.col("x").cast("double")).alias("x"))
+        weighted.groupBy("pos")
+        .agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
         .collect()  # one value per dimension
     )
     return [row["x"] for row in sorted(means, key=lambda row: row["pos"])]

@@ -106,7 +106,7 @@ def _scaled(emb: DataFrame, cents: DataFrame) -> DataFrame:
 
 
 def _projected(emb: DataFrame, cents: DataFrame) -> DataFrame:
-    return projection.project(emb, cents, projection.fit(emb))
+    return projection.project(emb, cents, projection.fit(emb, cents=cents))
 
 
 def _report_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,15 +9,32 @@ from pyspark.sql import functions as F
 
 from utterscope.llm.common import table
 from utterscope.llm.exact_dedup import exact_dedup
+from utterscope.llm.license_scan import scan_licenses
+from utterscope.llm.line_dedup import dedup_lines
 from utterscope.llm.mixing import mix
 from utterscope.llm.packing import pack
+from utterscope.llm.secret_scan import scan_secrets
 from utterscope.llm.warc import round_trip
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -34,13 +51,33 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_line_dedup": op2_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op6_warc": op6_warc,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_source_mix": op10_source_mix,
 }
 
 ORACLE = {
+    "op2_line_dedup": """
+      with lines as (
+        select doc_id, row, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as position
+        from (select *, row_number() over () as row from documents)),
+      keys as (
+        select *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+        from lines),
+      owners as (
+        select key, max(doc_id) as owner from keys where length(key) >= 20
+        group by key having count(distinct doc_id) >= 3)
+      select doc_id, count(*) as n_lines, count(*) filter (owner <> doc_id) as n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) order by position)
+          filter (owner is null or owner = doc_id), '')) as kept_sha256
+      from keys left join owners using (key) group by row, doc_id
+    """,
     "op4_exact_dedup": """
       select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
         doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256

@@ -12,6 +12,7 @@ from utterscope.llm.exact_dedup import exact_dedup
 from utterscope.llm.license_scan import scan_licenses
 from utterscope.llm.line_dedup import dedup_lines
 from utterscope.llm.mixing import mix
+from utterscope.llm.near_dedup import near_dedup
 from utterscope.llm.packing import pack
 from utterscope.llm.secret_scan import scan_secrets
 from utterscope.llm.warc import round_trip
@@ -45,6 +46,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), percent=85).drop("keeper")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     schedule, _ = mix(table(spark, sf_dir, "documents"))
     return schedule.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), "taken")
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_warc": op6_warc,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_source_mix": op10_source_mix,
 }
 

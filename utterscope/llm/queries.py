@@ -15,6 +15,8 @@ from utterscope.llm.mixing import mix
 from utterscope.llm.near_dedup import near_dedup
 from utterscope.llm.packing import pack
 from utterscope.llm.secret_scan import scan_secrets
+from utterscope.llm.toxicity import score_documents
+from utterscope.llm.vector_dedup import vector_dedup
 from utterscope.llm.warc import round_trip
 
 
@@ -28,6 +30,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -46,6 +53,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), percent=85).drop("keeper")
 
@@ -58,10 +69,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_warc": op6_warc,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_vector_near_dedup": op8_vector_near_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_source_mix": op10_source_mix,
 }

@@ -1,9 +1,11 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 The labelled rows used for fitting are bounded: ``SAMPLE_ROWS`` documents, drawn by a hash of their
-id. On four fifths of them a lexicon of words and word beginnings is counted in Spark and the trees
-are grown; the last fifth calibrates. Scoring is one pass over all whole texts in Arrow batches, with
-the lexicon and the trees, both of bounded size, sent to the tasks.
+id. A lexicon of words and word beginnings is counted in Spark, once for each half of the sample. The
+features of a row come from the lexicon of the other half, so that hits are as frequent as in unseen
+texts, and calibration uses predictions of trees grown on the other half. The final lexicon and
+trees use the whole sample. Scoring is one pass over all whole texts in Arrow batches, with the
+lexicon and the trees, both of bounded size, sent to the tasks.
 """
 
 from __future__ import annotations
@@ -19,19 +21,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from utterscope.llm.common import lower_ascii, save
+from utterscope.llm.common import save
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE_ROWS = 20_000
-#: Entries of the learned lexicon, at most; toxic documents that hold an entry, at least; and how many
-#: times as frequent an entry is in toxic documents, at least.
-LEXICON, MIN_TOXIC, MIN_RATIO = 500, 3, 8.0
-BEGINNING = 5
+#: Entries of the learned lexicon, at most; toxic texts that hold an entry, at least; and the least
+#: logarithm of the ratio of its frequencies in toxic and other texts, less ``CERTAINTY`` standard errors.
+LEXICON, MIN_TOXIC, MIN_WEIGHT, CERTAINTY = 1000, 4, 1.6, 1.5
+#: Lengths of word beginnings in the lexicon.
+BEGINNINGS = range(3, 8)
 DECISION = 0.7
 TREES, DEPTH, RATE, BINS = 40, 3, 0.25, 32
 # General insults, before anything is learned.
 SEED_WORDS = """idiot moron stupid loser dumb fool scum trash pathetic worthless disgusting jerk clown imbecile
-    pig bastard bitch asshole cretin retard vermin filth freak coward liar hate shut kill die""".split()
+    bastard bitch asshole cretin retard vermin filth freak coward liar""".split()
 # Second-person words in English, German, French and Spanish.
 SECOND_PERSON = """you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous
     votre vos ti usted ustedes vosotros vuestra vuestro""".split()
@@ -39,7 +42,7 @@ NEAR = 5
 _LOOKALIKES = str.maketrans("013457@$!|", "oieastasil")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 FEATURES = (
-    "lexicon density", "lexicon hits", "weight density", "largest weight", "beginnings density",
+    "lexicon density", "lexicon hits", "weight density", "total weight", "largest weight", "beginnings density",
     "near second person", "second person density", "capitals", "words in capitals", "punctuation",
     "exclamations", "obfuscated words", "lexicon hits when deobfuscated",
 )
@@ -55,7 +58,7 @@ def _word_facts(word: str, words: dict[str, float], beginnings: dict[str, float]
     core = word.strip(_EDGES)
     lowered = core.lower()
     hit = words.get(lowered, 0.0)
-    start = beginnings.get(lowered[:BEGINNING], 0.0) if len(lowered) > BEGINNING else 0.0
+    start = max(beginnings.get(lowered[:k], 0.0) for k in BEGINNINGS if k == 3 or k <= len(lowered))
     obfuscated = deobfuscated = 0.0
     if lowered and not lowered.isalpha():
         letters = sum(c.isalpha() for c in lowered)
@@ -104,7 +107,8 @@ def features(texts: pa.Array, words: dict[str, float], beginnings: dict[str, flo
     letters = np.maximum(1, total(11))
     return np.column_stack(
         [
-            hits / count, np.log1p(hits + starts), (weight + start_weight) / count, largest, starts / count,
+            hits / count, np.log1p(hits + starts), (weight + start_weight) / count,
+            np.log1p(weight + start_weight), largest, starts / count,
             near / np.maximum(1, hits + starts), total(4) / count, total(5) / letters, total(6) / count,
             total(7) / letters, total(8) / count, total(9) / count, total(10) / count,
         ]
@@ -160,18 +164,24 @@ class Trees:
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing least-squares fit by pooling adjacent violators."""
+    """Knots of the non-decreasing least-squares fit by pooling adjacent violators.
+
+    A block is level from its first to its last value; between blocks the fit is linear.
+    """
     order = np.argsort(raw, kind="stable")
-    blocks: list[list[float]] = []  # mean, weight, sum of raw
+    blocks: list[list[float]] = []  # mean, weight, first, last
     for value, label in zip(raw[order], y[order].astype(float)):
-        blocks.append([label, 1.0, value])
+        blocks.append([label, 1.0, value, value])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            m, w, s = blocks.pop()
-            last = blocks[-1]
-            last[0] = (last[0] * last[1] + m * w) / (last[1] + w)
-            last[1] += w
-            last[2] += s
-    return np.array([s / w for _, w, s in blocks]), np.array([m for m, _, _ in blocks])
+            m, w, _, last = blocks.pop()
+            low = blocks[-1]
+            low[0] = (low[0] * low[1] + m * w) / (low[1] + w)
+            low[1] += w
+            low[3] = last
+    return (
+        np.array([v for block in blocks for v in block[2:]]),
+        np.array([block[0] for block in blocks for _ in range(2)]),
+    )
 
 
 class Model:
@@ -188,30 +198,45 @@ class Model:
         return np.clip(0.98 * np.interp(raw, *self.knots) + 0.02 / (1 + np.exp(-raw)), 0, 1)
 
 
-def _lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and word beginnings that mark toxic texts, with the logarithm of their frequency ratio."""
-    words = F.array_distinct(F.split(lower_ascii("text"), r"[^\p{L}\p{N}]+"))
-    starts = F.array_distinct(
-        F.transform(F.filter(words, lambda w: F.length(w) > BEGINNING), lambda w: F.concat(F.substring(w, 1, BEGINNING), F.lit("*")))
-    )
-    totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    ratio = ((F.col("held") + 0.5) / (toxic + 1)) / ((F.col("documents") - F.col("held") + 0.5) / (clean + 1))
-    found = (
-        sample.select("toxic", F.explode(F.concat(words, starts)).alias("entry"))
+def _lexicons(sample: DataFrame) -> list[tuple[dict[str, float], dict[str, float]]]:
+    """Words and word beginnings that mark toxic texts, with their weights: by half 0, by half 1, by both."""
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    starts = [
+        F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+        for k in BEGINNINGS
+    ]
+    # A text that comes several times counts once.
+    texts = sample.groupBy("text").agg(F.max("toxic").alias("toxic"), F.max("half").alias("half"))
+    totals = {(r["half"], r["toxic"]): r["count"] for r in texts.groupBy("half", "toxic").count().collect()}
+    counts = save(
+        texts.select("toxic", "half", F.explode(F.array_distinct(F.concat(words, *starts))).alias("entry"))
         .where("entry <> ''")
         .groupBy("entry")
-        .agg(F.sum("toxic").alias("held"), F.count(F.lit(1)).alias("documents"))
-        .where(F.col("held") >= MIN_TOXIC)
-        .withColumn("ratio", ratio)
-        .where(F.col("ratio") >= MIN_RATIO)
-        .orderBy(F.desc("ratio"), "entry")
-        .limit(LEXICON)
-        .collect()
+        .agg(
+            *[F.sum(F.when(F.col("half") == h, F.col("toxic")).otherwise(0)).alias(f"held{h}") for h in (0, 1)],
+            *[F.count_if(F.col("half") == h).alias(f"documents{h}") for h in (0, 1)],
+        )
+        .where(F.col("held0") + F.col("held1") >= MIN_TOXIC),
+        "toxic-entries",
     )
-    learned = {r["entry"]: math.log(r["ratio"]) for r in found}
-    words_ = {w: math.log(MIN_RATIO) for w in SEED_WORDS} | {w: v for w, v in learned.items() if w[-1] != "*"}
-    return words_, {w[:-1]: v for w, v in learned.items() if w[-1] == "*"}
+    out = []
+    for halves in ((0,), (1,), (0, 1)):
+        toxic, clean = (sum(totals.get((h, k), 0) for h in halves) for k in (1, 0))
+        count = sum(F.col(f"held{h}") for h in halves)
+        held, others = count + 0.5, sum(F.col(f"documents{h}") for h in halves) - count + 0.5
+        weight = F.log((held / (toxic + 1)) / (others / (clean + 1))) - CERTAINTY * F.sqrt(1 / held + 1 / others)
+        found = (
+            counts.where(count >= MIN_TOXIC)
+            .select("entry", weight.alias("weight"))
+            .where(F.col("weight") >= MIN_WEIGHT)
+            .orderBy(F.desc("weight"), "entry")
+            .limit(LEXICON)
+            .collect()
+        )
+        learned = {r["entry"]: r["weight"] for r in found}
+        known = dict.fromkeys(SEED_WORDS, 2 * MIN_WEIGHT) | {w: v for w, v in learned.items() if w[-1] != "*"}
+        out.append((known, {w[:-1]: v for w, v in learned.items() if w[-1] == "*"}))
+    return out
 
 
 def train(
@@ -241,27 +266,34 @@ def train(
         texts.join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id", "toxic")
         .agg(F.min("text").alias("text"))
-        .withColumn("calibrates", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5)) == 0),
+        .withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")),
         "toxic-sample",
     )
-    words, beginnings = _lexicon(sample.where("not calibrates"))
-    width = len(FEATURES)
+    *other, (words, beginnings) = _lexicons(sample)
 
     @pandas_udf("array<double>")
-    def measured(text: pd.Series) -> pd.Series:
-        return pd.Series(list(features(pa.array(text, pa.string()), words, beginnings)))
-
-    rows = sample.select("toxic", "calibrates", measured("text").alias("x")).orderBy("doc_id").collect()  # bounded
+    def measured(text: pd.Series, half: pd.Series) -> pd.Series:
+        out = [None] * len(text)
+        for h in (0, 1):
+            at = np.flatnonzero(half.to_numpy() == h)
+            rows = features(pa.array(text.iloc[at], pa.string()), *other[1 - h])
+            for i, row in zip(at, rows):
+                out[i] = row
+        return pd.Series(out)
+
+    rows = (
+        sample.select("doc_id", "toxic", "half", measured("text", "half").alias("x")).orderBy("doc_id").collect()
+    )  # at most sample_rows
     y = np.array([r["toxic"] for r in rows], float)
-    x = np.array([r["x"] for r in rows], float).reshape(-1, width)
-    fold = np.array([r["calibrates"] for r in rows], bool)
-    share = float(y.mean()) if len(y) else 0.0
-    if len(np.unique(y[~fold])) < 2:
-        return Model(words, beginnings, share)
-    trees = Trees().fit(x[~fold], y[~fold])
-    # Few calibration rows say nothing about their kind; then all rows calibrate.
-    used = fold if min(y[fold].sum(), (1 - y[fold]).sum()) >= 5 else np.ones(len(y), bool)
-    return Model(words, beginnings, share, trees, isotonic(trees.raw(x[used]), y[used]))
+    x = np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES))
+    half = np.array([r["half"] for r in rows], int)
+    if len(np.unique(y)) < 2:
+        return Model(words, beginnings, float(y.mean()) if len(y) else 0.0)
+    raw = np.zeros(len(y))
+    for h in (0, 1):
+        if len(np.unique(y[half != h])) == 2:
+            raw[half == h] = Trees().fit(x[half != h], y[half != h]).raw(x[half == h])
+    return Model(words, beginnings, float(y.mean()), Trees().fit(x, y), isotonic(raw, y))
 
 
 def score_documents(

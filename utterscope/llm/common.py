@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +68,17 @@ def word_count(text: Column) -> Column:
     ).cast("long")
 
 
+def slices(texts: pa.Array, limit: int = 2 * 1024 * 1024) -> Iterator[slice]:
+    """Cut an Arrow batch into runs of about ``limit`` bytes of text, whole texts each."""
+    ends = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())).to_numpy()
+    start = 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(ends.searchsorted(before + limit, side="right")))
+        yield slice(start, stop)
+        start = stop
+
+
 def shards(n: int, rows: int) -> int:
     """How many shards of about ``rows`` rows hold ``n`` rows; at least one."""
     return max(1, math.ceil(n / rows))

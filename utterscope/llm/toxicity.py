@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from utterscope.llm.common import save
+from utterscope.llm.common import save, slices
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -79,6 +79,12 @@ _SECOND = frozenset(SECOND_PERSON)
 
 
 def features(texts: pa.Array, words: dict[str, float], beginnings: dict[str, float]) -> np.ndarray:
+    """One row of :data:`FEATURES` per text, taken a few megabytes of text at a time."""
+    parts = [_features(texts[part], words, beginnings) for part in slices(texts)]
+    return np.concatenate(parts) if parts else np.empty((0, len(FEATURES)))
+
+
+def _features(texts: pa.Array, words: dict[str, float], beginnings: dict[str, float]) -> np.ndarray:
     """One row of :data:`FEATURES` per text; zeros for a null, empty or blank one."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     owner, flat = pc.list_parent_indices(split), pc.list_flatten(split)
@@ -193,6 +199,8 @@ class Model:
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.share)
+        if not len(texts):
+            return np.empty(0)
         raw = self.trees.raw(features(texts, self.words, self.beginnings))
         # A little of the uncalibrated score keeps the order within a calibrated step.
         return np.clip(0.98 * np.interp(raw, *self.knots) + 0.02 / (1 + np.exp(-raw)), 0, 1)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utterscope.llm.common import save, small
+from utterscope.llm.common import save, slices, small
 from utterscope.llm.components import components
 
 WORDS = 5
@@ -52,8 +52,13 @@ def _hash_functions() -> tuple[np.ndarray, np.ndarray]:
     return a * np.uint64(2) + np.uint64(1), b
 
 
-def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; empty without words."""
+    for part in slices(texts):
+        yield from _shingle_sets(texts[part], words)
+
+
+def _shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     if isinstance(split, pa.ChunkedArray):
         split = split.combine_chunks()
@@ -102,18 +107,17 @@ def _sketch(words: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _hash_functions()
         for batch in batches:
-            sets = shingle_sets(batch.column(3), words)
+            sizes, digests, minima = [], [], []
+            for s in shingle_sets(batch.column(3), words):
+                sizes.append(len(s))
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                minima.append(minima_of(s, a, b).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(1),
-                    batch.column(2),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(
-                        [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                        pa.binary(),
-                    ),
-                    pa.array([minima_of(s, a, b).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    *(batch.column(i) for i in range(3)),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(digests, pa.binary()),
+                    pa.array(minima, pa.binary()),
                 ],
                 ["row", "doc_id", "text_hash", "n_shingles", "digest", "minima"],
             )
@@ -124,11 +128,15 @@ def _sketch(words: int):
 def _sets(words: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(2), words)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["rep", "minima", "shingles"],
-            )
+            at = 0
+            for part in slices(batch.column(2)):
+                some = batch.slice(at, part.stop - part.start)
+                at = part.stop
+                sets = [s.tobytes() for s in _shingle_sets(some.column(2), words)]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array(sets, pa.binary())],
+                    ["rep", "minima", "shingles"],
+                )
 
     return task
 

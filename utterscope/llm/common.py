@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: A table is broadcast only when its counted rows times their width stay below this.
 BROADCAST_BYTES = 32 * 1024 * 1024
+#: Rows of an Arrow batch while a table is written: texts and sets are large, and two tasks share an executor.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: White space of the word and line rules: blank and the control characters 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,9 +42,15 @@ def save(frame: DataFrame, name: str) -> DataFrame:
     This cuts the lineage, survives lost executors and fixes row numbers that were drawn while
     writing. :func:`drop_scratch` removes what an application wrote.
     """
-    path = f"{scratch_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    spark = frame.sparkSession
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:

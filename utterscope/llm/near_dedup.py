@@ -42,7 +42,7 @@ BLOCK = 256
 SEED = 9
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 SKETCH = "row long, doc_id long, text_hash long, n_shingles long, digest binary, minima binary"
-SET = "rep long, minima binary, shingles binary"
+SET = "rep long, shingles binary"
 
 
 def _hash_functions() -> tuple[np.ndarray, np.ndarray]:
@@ -129,13 +129,13 @@ def _sets(words: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in slices(batch.column(2)):
+            for part in slices(batch.column(1)):
                 some = batch.slice(at, part.stop - part.start)
                 at = part.stop
-                sets = [s.tobytes() for s in _shingle_sets(some.column(2), words)]
+                sets = [s.tobytes() for s in _shingle_sets(some.column(1), words)]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.array(sets, pa.binary())],
-                    ["rep", "minima", "shingles"],
+                    [some.column(0), pa.array(sets, pa.binary())],
+                    ["rep", "shingles"],
                 )
 
     return task
@@ -223,7 +223,7 @@ def _compare_blocks(percent: int):
     return task
 
 
-def _links(nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _links(reps: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Confirmed links of the two rounds; every component of the full link graph is connected by them."""
     members_of = members.groupBy("rep").agg(F.sum("held").alias("weight"))
     centres = (
@@ -234,17 +234,17 @@ def _links(nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     )
     pairs = members.join(centres, "key").where("rep <> centre").select("rep", "centre").distinct()
 
-    def with_both(pairs: DataFrame, column: str) -> DataFrame:
+    def with_both(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
         a = nodes.select(F.col("rep").alias("a"), F.col(column).alias("of_a"))
         b = nodes.select(F.col("rep").alias("b"), F.col(column).alias("of_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b")
 
     renamed = pairs.select(F.col("rep").alias("a"), F.col("centre").alias("b"))
     likely = save(
-        with_both(renamed, "minima").mapInArrow(_agreeing(percent), "a long, b long"), "near-likely"
+        with_both(renamed, reps, "minima").mapInArrow(_agreeing(percent), "a long, b long"), "near-likely"
     )
     first = save(
-        with_both(likely, "shingles").mapInArrow(_confirmed(percent), "a long, b long"), "near-links"
+        with_both(likely, sets, "shingles").mapInArrow(_confirmed(percent), "a long, b long"), "near-links"
     )
     named = components(first)
     placed = save(
@@ -273,7 +273,8 @@ def _links(nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         )
     )
     second = (
-        dealt.join(nodes, "rep")
+        dealt.join(reps.select("rep", "minima"), "rep")
+        .join(sets, "rep")
         .groupBy("key", "left", "right")
         .applyInPandas(_compare_blocks(percent), "a long, b long")
     )
@@ -330,16 +331,16 @@ def near_dedup(
 
     wanted = save(
         reps.join(members.select("rep").distinct(), "rep", "left_semi").select(
-            "rep", "minima", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
+            "rep", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
         ),
         "near-wanted",
     )
     texts = rows.join(
-        small(wanted, 640), rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["text_hash"] == F.col("_hash"))
-    ).select("rep", "minima", "text")
+        small(wanted, 48), rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["text_hash"] == F.col("_hash"))
+    ).select("rep", "text")
     # Repeated rows give a representative's set more than once.
-    nodes = save(texts.mapInArrow(_sets(words), SET).dropDuplicates(["rep"]), "near-sets")
-    named = components(_links(nodes, members, percent))
+    sets = save(texts.mapInArrow(_sets(words), SET).dropDuplicates(["rep"]), "near-sets")
+    named = components(_links(reps, sets, members, percent))
 
     lows = (
         classes.join(named, classes["rep"] == named["node"], "left")

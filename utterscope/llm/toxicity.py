@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from utterscope.llm.common import save, slices
 
@@ -315,9 +315,9 @@ def score_documents(
     """
     model = train(documents, labels, id_column, text_column, **options)
 
-    @pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(pa.array(text, pa.string())))
+    @arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(model.scores(text), pa.float64())
 
     added = ("held_out", "score", "predicted")
     return documents.select(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utterscope.functions.vectors import as_doubles, dot
-from utterscope.operators.semantic import BY_SPLIT, attach_centroid, label_sample
+from utterscope.operators.semantic import attach_centroid
 from utterscope.sources.intermediate import BROADCAST_LIMIT_BYTES
 
 COMPONENTS = 2
@@ -122,13 +122,11 @@ def centroid_shift(
     cents: DataFrame,
     first: str = "train",
     second: str = "test",
-    size: int = 100,
-    seed: int = 0,
 ) -> DataFrame:
     """``label, x1, y1, x2, y2, shift``: where the centroid of a label lies in either split.
 
-    The plane is fitted on at most ``size`` rows per split and label together with the centroids;
-    the centroids themselves use all rows. Labels of both splits only; none is an error.
+    The plane is fitted on all rows of these labels together with the centroids. Labels of both
+    splits only; none is an error.
     """
     pair = (
         cents.where(F.col("centroid").isNotNull())
@@ -141,8 +139,8 @@ def centroid_shift(
     )
     if pair.isEmpty():
         raise ValueError("no label occurs in both splits")
-    sampled = label_sample(emb.where(F.col("vec").isNotNull()), size, BY_SPLIT, seed)
-    points = sampled.join(pair.select("label"), "label", "left_semi").select(
+    rows = emb.where(F.col("vec").isNotNull() & F.col("split").isin(first, second))
+    points = rows.join(pair.select("label"), "label", "left_semi").select(
         as_doubles(F.col("vec")).alias("vec")
     )
     both = pair.select(F.explode(F.array("c1", "c2")).alias("vec"))

@@ -14,13 +14,14 @@ def read_folder(
     spark: SparkSession,
     folder: str | list[str],
     extension: str = ".csv",
-    skip_corrupt: bool = True,
+    skip_corrupt: bool = False,
     multi_line: bool = True,
 ) -> DataFrame:
     """``label, text`` from the first column of every file; the file name gives the label.
 
     Large files without quoted line breaks are read in parallel parts with ``multi_line=False``.
-    A file that cannot be read is skipped; compare with :func:`read_manifest` and
+    A file that cannot be read stops the job. With ``skip_corrupt`` what can be read of it is kept and
+    the rest skipped without a trace; compare with :func:`read_manifest` and
     :func:`missing_files` to see which ones.
     """
     texts = (

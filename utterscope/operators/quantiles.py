@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from utterscope.sources.intermediate import broadcast_if_small, materialize
+
 CELLS = 1 << 16
+MIDDLE_ROW_BYTES = 256
+
+
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Inner join on the columns ``by``, where null is a group like any other."""
+    renamed = right.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return left.join(renamed, same).drop(*[f"_{c}" for c in by])
 
 
 def grouped_median(
@@ -16,12 +27,14 @@ def grouped_median(
     """``*by, median`` of a column whose values lie in about ``[low, high]``.
 
     The range is cut into cells. Counting them shows which cell holds the middle rank of a group,
-    and only the distinct values of that cell are ranked. Every value is counted; values outside
-    the range fall into the outermost cells.
+    and only the distinct values of that cell are shuffled and ranked. Every value but null is
+    counted; values outside the range fall into the outermost cells, and NaN, which is greater than
+    any number, into the last one. Groups with a null in their key are groups like any other.
     """
     width = (high - low) / cells
     position = F.floor((F.col(value) - F.lit(low)) / F.lit(width))
-    cell = F.least(F.greatest(position, F.lit(0)), F.lit(cells - 1)).cast("int")
+    inside = F.least(F.greatest(position, F.lit(0)), F.lit(cells - 1)).cast("int")
+    cell = F.when(F.isnan(value), F.lit(cells - 1)).otherwise(inside)
     placed = frame.where(F.col(value).isNotNull()).select(
         *by, F.col(value).cast("double").alias("value"), cell.alias("cell")
     )
@@ -41,16 +54,22 @@ def grouped_median(
         ((F.col("before") < F.col("rank1")) & (F.col("rank1") <= F.col("through")))
         | ((F.col("before") < F.col("rank2")) & (F.col("rank2") <= F.col("through")))
     )
-    # Equal values are summed up first, so even a cell of one repeated value is a single row.
-    values = placed.groupBy(*by, "cell", "value").agg(F.count(F.lit(1)).alias("n"))
+    # One or two rows per group. Knowing their number up front keeps the other cells out of the shuffle.
+    middle = broadcast_if_small(materialize(middle, "middle-cells"), MIDDLE_ROW_BYTES)
+    ranks = ["before", "rank1", "rank2"]
+    # Equal values are summed up, so even a cell of one repeated value is a single row.
+    values = (
+        join_groups(placed, middle, [*by, "cell"])
+        .groupBy(*by, "cell", *ranks, "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     within = (
         Window.partitionBy(*by, "cell")
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ranked = (
-        values.join(middle, [*by, "cell"])
-        .withColumn("last", F.col("before") + F.sum("n").over(within))
+        values.withColumn("last", F.col("before") + F.sum("n").over(within))
         .withColumn("first", F.col("last") - F.col("n") + 1)
     )
     picked = ranked.groupBy(*by).agg(

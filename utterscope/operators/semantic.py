@@ -12,19 +12,23 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from utterscope.functions.vectors import cosine_from_sums, dot, euclidean, norm, unit
-from utterscope.operators.quantiles import grouped_median
+from utterscope.operators.quantiles import grouped_median, join_groups
 from utterscope.sources.intermediate import BROADCAST_LIMIT_BYTES, materialize, vector_table_bytes
 
 BY_SPLIT = ("split", "label")
 METRICS = ("cosine", "euclidean")
 PAIR_BLOCK = 256
-MEDIAN_IN_MEMORY_ROWS = 1_000_000
 SALTS = 64
+#: Bytes of centroids that travel to the tasks at a time, and centroids in one matrix product.
+CENTROID_BYTES = 32 * 1024 * 1024
+CENTROID_TILE = 512
+#: Distances that differ by less count as ties.
+TIE = 1e-12
 
 
 def _positions(emb: DataFrame, by: Sequence[str], *extra: str) -> DataFrame:
@@ -93,15 +97,16 @@ def attach_centroid(
     """Join every row with the centroid of its own group.
 
     ``cents`` must be a materialized table. Up to ``limit`` bytes it is broadcast; beyond that both
-    sides are shuffled with a salt, so that a large label is spread over many tasks.
+    sides are shuffled with a salt, so that a large label is spread over many tasks. Null is a
+    group like any other.
     """
     size = vector_table_bytes(cents, "centroid")[1]
     own = cents.select(*by, "centroid")
     if size <= limit:
-        return emb.join(F.broadcast(own), list(by))
+        return join_groups(emb, F.broadcast(own), by)
     salted = emb.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     copies = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*by, "salt"]).drop("salt")
+    return join_groups(salted, copies, [*by, "salt"]).drop("salt")
 
 
 def row_similarity(
@@ -125,25 +130,18 @@ def cohesion_stats(
     cents: DataFrame,
     by: Sequence[str] = BY_SPLIT,
     limit: int = BROADCAST_LIMIT_BYTES,
-    median_rows: int = MEDIAN_IN_MEMORY_ROWS,
 ) -> DataFrame:
-    """``*by, mean, median, std`` of the similarities to the own centroid; the median is exact.
+    """``*by, mean, median, std`` of the similarities to the own centroid.
 
-    ``cents`` must be a materialized table. Groups of more than ``median_rows`` rows get their
-    median by rank selection instead of an in-memory sort.
+    ``cents`` must be a materialized table. The median is exact and found by rank selection, so no
+    task ever holds the values of a group.
     """
-    similarity = row_similarity(emb, cents, by, limit)
-    moments = [F.avg("similarity").alias("mean"), F.stddev_pop("similarity").alias("std")]
-    largest = cents.agg(F.max("n")).first()[0] or 0
-    if largest <= median_rows:
-        return similarity.groupBy(*by).agg(
-            moments[0], F.median("similarity").alias("median"), moments[1]
-        )
-    similarity = materialize(similarity.drop("id"), "similarity")
+    similarity = materialize(row_similarity(emb, cents, by, limit).drop("id"), "similarity")
     medians = grouped_median(similarity, by, "similarity", low=-1.0, high=1.0)
-    return similarity.groupBy(*by).agg(*moments).join(medians, list(by)).select(
-        *by, "mean", "median", "std"
+    moments = similarity.groupBy(*by).agg(
+        F.avg("similarity").alias("mean"), F.stddev_pop("similarity").alias("std")
     )
+    return join_groups(moments, medians, by).select(*by, "mean", "median", "std")
 
 
 def scaled_similarity(similarity: DataFrame) -> DataFrame:
@@ -165,21 +163,30 @@ def _paired(cents: DataFrame, value: Column, keep: Column, n: int, within: Seque
     """Pairs of centroids for which ``keep`` holds, computed block against block.
 
     Labels are hashed into blocks and every pair of blocks is one key of an equi-join, so a task
-    gets about ``PAIR_BLOCK`` squared pairs, however many labels there are.
+    gets about ``PAIR_BLOCK`` squared pairs, however many labels there are. Two different blocks
+    meet once, and their pairs are turned so that the smaller label comes first; only inside a block
+    does ``keep`` have to choose between the two orders.
     """
     blocks = max(1, -(-n // PAIR_BLOCK))
     block = F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    side = cents.select(*within, "label", value.alias("v"))
+    side = cents.select(*within, "label", value.alias("v"), block.alias("block"))
     left = side.select(
-        *within, F.col("label").alias("label1"), F.col("v").alias("v1"),
-        block.alias("block1"), others.alias("block2"),
+        *within, F.col("label").alias("label1"), F.col("v").alias("v1"), F.col("block").alias("block1"),
+        F.explode(F.sequence("block", F.lit(blocks - 1))).alias("block2"),
     )
     right = side.select(
-        *within, F.col("label").alias("label2"), F.col("v").alias("v2"),
-        others.alias("block1"), block.alias("block2"),
+        *within, F.col("label").alias("label2"), F.col("v").alias("v2"), F.col("block").alias("block2"),
+        F.explode(F.sequence(F.lit(0), "block")).alias("block1"),
+    )
+    pairs = left.join(right, [*within, "block1", "block2"]).where((F.col("block1") < F.col("block2")) | keep)
+    turned = F.col("label1") > F.col("label2")
+    return pairs.select(
+        *within,
+        F.when(turned, F.col("label2")).otherwise(F.col("label1")).alias("label1"),
+        F.when(turned, F.col("label1")).otherwise(F.col("label2")).alias("label2"),
+        "v1",
+        "v2",
     )
-    return left.join(right, [*within, "block1", "block2"]).where(keep)
 
 
 def centroid_pairs(cents: DataFrame, within: Sequence[str] = ("split",)) -> DataFrame:
@@ -226,9 +233,9 @@ def similarity_matrix(cents: DataFrame, metric: str = "cosine") -> DataFrame:
     )
 
 
-def matrix_wide(matrix: DataFrame) -> DataFrame:
-    """One row and one column per label, from a :func:`similarity_matrix`."""
-    return matrix.groupBy("label1").pivot("label2").agg(F.first("similarity"))
+def matrix_wide(matrix: DataFrame, labels: Sequence[str | int]) -> DataFrame:
+    """One row per label and one column for each of ``labels``, from a :func:`similarity_matrix`."""
+    return matrix.groupBy("label1").pivot("label2", list(labels)).agg(F.first("similarity"))
 
 
 def rounded_matrix(matrix: DataFrame, digits: int = 2) -> DataFrame:
@@ -322,40 +329,54 @@ def label_sample(
     )
 
 
-def nearest_centroid(
-    emb: DataFrame, cents: DataFrame, limit: int = BROADCAST_LIMIT_BYTES
-) -> DataFrame:
+def nearest_centroid(emb: DataFrame, cents: DataFrame, limit: int = CENTROID_BYTES) -> DataFrame:
     """``id, label, nearest, distance``: the label whose centroid has the least cosine distance.
 
-    ``cents`` must be a materialized table with one row per label; ties go to the smaller label.
+    ``cents`` must be a materialized table with one row per label. Centroids go to the tasks in the
+    order of their labels, at most ``limit`` bytes at a time; each row carries the best one so far and
+    is written to the shared folder before the next lot. So rows are never shuffled, and the memory of
+    a task does not grow with the number of labels. Ties within :data:`TIE` go to the smaller label.
+    Repeated ids give repeated rows. Without any centroid, or for a vector with null or NaN in it,
+    ``nearest`` and ``distance`` are null; rows without a vector are left out.
     """
-    rows = emb.where(F.col("vec").isNotNull()).select("id", "label", "vec")
     known = cents.where(F.col("centroid").isNotNull()).select(
         F.col("label").alias("nearest"), unit(F.col("centroid")).alias("centroid")
     )
-    n, size = vector_table_bytes(known, "centroid")
-    if size <= limit:
-        return _nearest_in_memory(rows, known)
-    return _nearest_by_blocks(rows, known, n, limit, size)
-
-
-def _nearest_in_memory(rows: DataFrame, known: DataFrame) -> DataFrame:
-    # The caller has checked the size of the centroids. With k centroids of d values each row needs
-    # k * d multiplications: one matrix product per Arrow batch.
-    table = known.orderBy("nearest").toArrow()
-    labels = table.column("nearest").combine_chunks()
-    matrix = np.array(table.column("centroid").to_pylist(), dtype=np.float64)
-    shared = rows.sparkSession.sparkContext.broadcast((labels, matrix))
-    schema = T.StructType(
-        [
-            rows.schema["id"],
-            rows.schema["label"],
-            T.StructField("nearest", known.schema["nearest"].dataType),
-            T.StructField("distance", T.DoubleType()),
-        ]
+    rows = emb.where(F.col("vec").isNotNull()).select(
+        "id",
+        "label",
+        "vec",
+        F.lit(None).cast(known.schema["nearest"].dataType).alias("nearest"),
+        F.lit(None).cast("double").alias("distance"),
     )
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared = None
+    for lot in _lots(known.orderBy("nearest"), limit):
+        if shared is not None:
+            rows = materialize(rows, "nearest")
+            shared.unpersist()
+        shared = rows.sparkSession.sparkContext.broadcast(lot)
+        rows = rows.mapInArrow(_closer(shared), rows.schema)
+    return rows.drop("vec")
+
+
+def _lots(known: DataFrame, limit: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Labels and vectors of the centroids, about ``limit`` bytes at a time."""
+    labels: list = []
+    vectors: list[np.ndarray] = []
+    for row in known.toLocalIterator():
+        labels.append(row["nearest"])
+        vectors.append(np.array(row["centroid"], np.float64))
+        if len(labels) * (vectors[0].nbytes + 64) >= limit:
+            yield labels, np.array(vectors)
+            labels, vectors = [], []
+    if labels:
+        yield labels, np.array(vectors)
+
+
+def _closer(shared):
+    """Replace the best centroid of each row where one of the lot is closer."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, matrix = shared.value
         for batch in batches:
             if batch.num_rows == 0:
@@ -363,54 +384,24 @@ def _nearest_in_memory(rows: DataFrame, known: DataFrame) -> DataFrame:
             values = batch.column("vec").flatten().to_numpy(zero_copy_only=False)
             vectors = values.astype(np.float64).reshape(batch.num_rows, matrix.shape[1])
             lengths = np.linalg.norm(vectors, axis=1)
-            lengths[lengths == 0] = 1.0
-            distances = 1.0 - (vectors @ matrix.T) / lengths[:, None]
-            best = distances.argmin(axis=1)
+            vectors /= np.where(lengths == 0, 1.0, lengths)[:, None]
+            best = np.array(pc.fill_null(batch.column("distance"), np.inf))
+            chosen = np.full(batch.num_rows, -1)
+            for at in range(0, len(matrix), CENTROID_TILE):
+                distances = 1.0 - vectors @ matrix[at : at + CENTROID_TILE].T
+                least = distances.min(axis=1)
+                first = (distances <= least[:, None] + TIE).argmax(axis=1)
+                closer = least < best - TIE
+                best[closer], chosen[closer] = least[closer], at + first[closer]
+            known = batch.column("nearest")
+            taken = pa.array(labels, known.type).take(pa.array(chosen, mask=chosen < 0))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"),
-                    batch.column("label"),
-                    labels.take(pa.array(best)),
-                    pa.array(distances[np.arange(len(best)), best]),
+                    *(batch.column(c) for c in ("id", "label", "vec")),
+                    pc.coalesce(taken, known),
+                    pa.array(best, mask=np.isinf(best)),
                 ],
-                names=["id", "label", "nearest", "distance"],
+                names=["id", "label", "vec", "nearest", "distance"],
             )
 
-    return rows.mapInArrow(score, schema)
-
-
-def _nearest_by_blocks(
-    rows: DataFrame, known: DataFrame, n: int, limit: int, size: int
-) -> DataFrame:
-    """Exact result for any number of centroids: best per block of centroids, then best of all.
-
-    A block of centroids travels as one array of bounded size; rows meet every block through an
-    equi-join whose key is salted, and only (id, best so far) leaves a block.
-    """
-    blocks = max(1, -(-size // max(1, min(limit, 4 * 1024 * 1024))))
-    blocks = min(blocks, max(1, n))
-    shelves = (
-        known.withColumn("block", F.pmod(F.xxhash64("nearest"), F.lit(blocks)).cast("int"))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("nearest", "centroid")).alias("shelf"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    visits = rows.select(
-        "id",
-        "label",
-        unit(F.col("vec")).alias("vec"),
-        F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"),
-    ).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    candidates = F.transform(
-        "shelf",
-        lambda c: F.struct(
-            (1 - dot(F.col("vec"), c["centroid"])).alias("distance"), c["nearest"].alias("nearest")
-        ),
-    )
-    best = (
-        visits.join(shelves, ["block", "salt"])
-        .select("id", "label", F.array_min(candidates).alias("best"))
-        .groupBy("id", "label")
-        .agg(F.min("best").alias("best"))
-    )
-    return best.select("id", "label", "best.nearest", "best.distance")
+    return task

@@ -69,12 +69,24 @@ def test_reports_are_split(spark, folder):
     ]
 
 
-def test_wide_reports_are_rejected_not_cut(spark, tmp_path):
-    (tmp_path / "wide.csv").write_text(HEADER + "a,b,c,TP,,,,,x\n", encoding="utf-8")
-    split = reports.split_reports(spark, str(tmp_path), max_columns=8)
-    assert rows(reports.rejects(split)) == [("wide", reports.TOO_WIDE)]
-    assert reports.results(split).count() == 0
-    assert reports.results(reports.split_reports(spark, str(tmp_path), max_columns=9)).count() == 1
+def test_reports_of_any_width_keep_all_cells(spark, tmp_path):
+    names = ["Utterance", "ResultType", "Note", "Note", "", *(f"k{i}" for i in range(200))]
+    values = ["hi", "TP", "n1", "n2", "n3", *(f"v{i}" for i in range(200)), "beyond", "", "last"]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + ",".join(values) + "\n", encoding="utf-8")
+    (tmp_path / "narrow.csv").write_text('Utterance,ResultType\nho,FP\n"a\nb",FN\n', encoding="utf-8")
+    split = reports.split_reports(spark, str(tmp_path))
+    assert reports.rejects(split).count() == 0
+    found = {r.utterance: r for r in reports.results(split).collect()}
+    expected = {"Note": "n1", "Note.1": "n2", "_c4": "n3", "_c205": "beyond", "_c207": "last"}
+    assert found["hi"].extra == expected | {f"k{i}": f"v{i}" for i in range(200)}
+    assert (found["ho"].extra, found["a\nb"].extra, found["a\nb"].result_type) == ({}, {}, "FN")
+
+
+def test_cells_beyond_every_line_are_reported(spark, tmp_path):
+    (tmp_path / "odd.csv").write_text('Utterance,ResultType\n"a\nb",TP,"x\ny",z\n', encoding="utf-8")
+    split = reports.split_reports(spark, str(tmp_path))
+    assert rows(reports.rejects(split)) == [("odd", reports.TOO_WIDE)]
+    assert reports.results(split).first().utterance == "a\nb"
 
 
 def test_many_reports_in_one_task(spark, tmp_path):

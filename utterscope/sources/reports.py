@@ -30,10 +30,9 @@ RESULT_COLUMNS = {
 }
 RESULTS_SUFFIX = "_results"
 
-MAX_REPORT_COLUMNS = 64
 PATH_ROW_BYTES = 4096
 NO_HEADER = "no data header"
-TOO_WIDE = "more columns than max_columns"
+TOO_WIDE = "a row with line breaks has more cells than any line"
 
 _TEXT_COLUMNS = [name for name in RESULT_COLUMNS.values() if name != "correct"]
 
@@ -49,23 +48,33 @@ def report_name(stem: Column) -> Column:
     return F.regexp_replace(stem, f"{RESULTS_SUFFIX}\\z", "")
 
 
-def split_reports(
-    spark: SparkSession, paths: str | list[str], max_columns: int = MAX_REPORT_COLUMNS
-) -> DataFrame:
+def widest_line(spark: SparkSession, paths: str | list[str]) -> int:
+    """The greatest number of cells that a line can hold, from the commas in it; at least one."""
+    commas = F.length("value") - F.length(F.replace("value", F.lit(",")))
+    return (spark.read.text(paths).agg(F.max(commas)).first()[0] or 0) + 1
+
+
+def split_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Rows of the result tables of reports, and one row with ``reject`` per unusable report.
 
     Columns: ``report``, those of :data:`RESULT_COLUMNS`, ``extra`` with the other columns of the
     table, and ``reject``. Tables that are already split off are reports with an empty preamble.
 
+    Tables may have any width; a first pass over the lines finds the widest one. No cell is lost: in
+    ``extra`` a column without a name and a cell right of the header go by their position (``_c7``,
+    from 0, where they hold something), and a repeated name gets a number (``Note``, ``Note.1``). Only
+    a row with quoted line breaks can have cells beyond the widest line; a reject row tells of those.
+
     A file with quoted line breaks cannot be cut, so Spark gives each file to one task, which reads
     it as a stream. The Python side only finds the header row and slices Arrow batches; its memory
     does not grow with the size of a report.
     """
-    cells = [f"c{i}" for i in range(max_columns + 1)]
+    cells = [f"c{i}" for i in range(widest_line(spark, paths) + 1)]
     parsed = (
         spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in cells]))
         .option("header", False)
         .option("multiLine", True)
+        .option("maxColumns", max(20480, len(cells)))
         .option("quote", '"')
         .option("escape", '"')
         .csv(paths)
@@ -84,7 +93,7 @@ def split_reports(
 def _result_batches(
     batches: Iterator[pa.RecordBatch], cells: list[str]
 ) -> Iterator[pa.RecordBatch]:
-    path, header = None, None
+    path, header, cut = None, None, False
     for batch in batches:
         names = batch.column("path").to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else []
@@ -100,10 +109,11 @@ def _result_batches(
                 if at is None:
                     continue
                 header = [rows.column(c)[at].as_py() for c in cells]
-                rows = rows.slice(at + 1)
-                if header[-1] is not None:
+                rows, cut = rows.slice(at + 1), False
+            if rows.num_rows:
+                if not cut and rows.column(cells[-1]).null_count < rows.num_rows:
                     yield _rejected(path, TOO_WIDE)
-            if header[-1] is None and rows.num_rows:
+                    cut = True
                 yield _result_rows(rows, header)
     if path is not None and header is None:
         yield _rejected(path, NO_HEADER)
@@ -115,21 +125,37 @@ def _header_row(first_cells: pa.Array) -> int | None:
     return at if at >= 0 else None
 
 
+def _column_names(header: list[str | None]) -> list[tuple[str, bool]]:
+    """A name of its own for each column, and whether the header gives one."""
+    given = [(name or "").strip() for name in header]
+    names: list[tuple[str, bool]] = []
+    taken = set(given)
+    seen: set[str] = set()
+    for i, name in enumerate(given):
+        wanted, number = name or f"_c{i}", 0
+        unique = wanted
+        while unique in seen or (unique in taken and unique != name):
+            number += 1
+            unique = f"{wanted}.{number}"
+        seen.add(unique)
+        names.append((unique, bool(name)))
+    return names
+
+
 def _result_rows(rows: pa.RecordBatch, header: list[str | None]) -> pa.RecordBatch:
     n = rows.num_rows
-    position: dict[str, int] = {}
-    for i, name in enumerate(header):
-        if name is not None:
-            position.setdefault(name.strip(), i)
-    cell = {name: rows.column(f"c{i}").cast(pa.string()) for name, i in position.items()}
-    extra = [name for name in cell if name not in RESULT_COLUMNS]
-    # Column-wise cells become row-wise map entries with one gather.
-    gather = np.arange(n)[:, None] + n * np.arange(len(extra))[None, :]
-    items = pa.concat_arrays([cell[name] for name in extra]) if extra else pa.nulls(0, pa.string())
+    names = _column_names(header)
+    cell = {name: rows.column(f"c{i}").cast(pa.string()) for i, (name, _) in enumerate(names)}
+    extra = [(name, known) for name, known in names if name not in RESULT_COLUMNS]
+    # Column-wise cells become row-wise map entries with one gather; unnamed empty cells give none.
+    held = [np.full(n, True) if known else cell[name].is_valid().to_numpy(zero_copy_only=False) for name, known in extra]
+    present = np.array(held, bool).reshape(len(extra), n).T
+    at_row, at_column = np.nonzero(present)
+    items = pa.concat_arrays([cell[name] for name, _ in extra]) if extra else pa.nulls(0, pa.string())
     entries = pa.MapArray.from_arrays(
-        pa.array(np.arange(n + 1) * len(extra), pa.int32()),
-        pa.array(extra, pa.string()).take(pa.array(np.tile(np.arange(len(extra)), n), pa.int64())),
-        items.take(pa.array(gather.ravel(), pa.int64())),
+        pa.array(np.r_[0, np.cumsum(present.sum(axis=1))], pa.int32()),
+        pa.array([name for name, _ in extra], pa.string()).take(pa.array(at_column, pa.int64())),
+        items.take(pa.array(at_row + n * at_column, pa.int64())),
     )
     return _output(
         rows.column("path").cast(pa.string()),

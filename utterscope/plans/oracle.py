@@ -266,6 +266,14 @@ ORACLE: dict[str, str] = {
         )
         + " from everything",
     ),
+    "json_round_trip": "select doc_id, text, lang, source from documents",
+    "csv_round_trip": BATCH_SQL,
+    "intent_order": _with(
+        _SCORED_VIEWS,
+        """select report, intent, row_number() over (partition by report order by
+            case intent when 'micro' then 1 when 'macro' then 2 else 0 end, lower(intent)) as position
+        from everything""",
+    ),
     "entity_metrics": _with(
         _ENTITY_VIEWS,
         f"""
@@ -281,6 +289,15 @@ ORACLE: dict[str, str] = {
           count(*)
         from ent group by report""",
     ),
+    "entity_order": _with(
+        _ENTITY_VIEWS,
+        """
+        select report, entity, row_number() over (partition by report order by kind, entity) as position
+        from (
+          select distinct report, entity, 0 as kind from named
+          union all select distinct report, '', 1 from ent
+          union all select distinct report, 'micro', 2 from ent) as listed""",
+    ),
     "entity_identification": _with(
         _ENTITY_VIEWS,
         f"""

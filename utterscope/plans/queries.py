@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from utterscope.functions.text import preview
@@ -25,7 +25,7 @@ from utterscope.operators import (
 )
 from utterscope.plans import views
 from utterscope.sources import files, reports
-from utterscope.sources.intermediate import materialize, spread
+from utterscope.sources.intermediate import fresh_folder, materialize, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,6 +114,27 @@ def _report_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.key_values(reports.text_lines(documents, "doc_id", "text"))
 
 
+def _numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """``report, name, position``: the place of each row of an ordered table in its report."""
+    at = ordered.select("report", name, F.monotonically_increasing_id().alias("at"))
+    place = F.row_number().over(Window.partitionBy("report").orderBy("at"))
+    return at.select("report", name, place.cast("long").alias("position"))
+
+
+def _json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = views.table(spark, sf_dir, "documents")
+    path = fresh_folder(spark, "json")
+    files.write_json(documents, path)
+    return files.read_json(spark, path, documents.schema)
+
+
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = views.batch(spark, sf_dir)
+    path = fresh_folder(spark, "csv")
+    files.write_csv(results, path)
+    return files.read_csv(spark, path, results.schema)
+
+
 def _model_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = files.file_stem(F.col("path"))
     return (
@@ -145,6 +166,8 @@ QUERIES: dict[str, Query] = {
     # Sources.
     "corpus_scan": _corpus(lambda c: c.where(F.col("text").isNotNull())),
     "report_metadata": _report_metadata,
+    "json_round_trip": _json_round_trip,
+    "csv_round_trip": _csv_round_trip,
     "model_name": _model_name,
     "point_preview": _corpus(lambda c: c.select("doc_id", preview(F.col("text")).alias("preview"))),
     # Intents.
@@ -154,8 +177,12 @@ QUERIES: dict[str, Query] = {
         lambda b: intent.counts(b).select("report", "intent", "display", "tp", "fp", "fn", "tn")
     ),
     "intent_metrics": _batch(lambda b: intent.metrics(b).drop("is_average")),
+    "intent_order": _batch(lambda b: _numbered(intent.in_report_order(intent.metrics(b)), "intent")),
     # Entities.
     "entity_metrics": _ent(lambda e: entity.metrics(e).drop("is_average")),
+    "entity_order": _ent(
+        lambda e: _numbered(entity.metrics_in_report_order(entity.metrics(e)), "entity")
+    ),
     "entity_identification": _ent(entity.identification),
     "entity_engine_summary": _ent(lambda e: entity.engine_summary(entity.identification(e))),
     "entity_methods": _ent(lambda e: entity.methods(entity.identification(e))),

@@ -22,6 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_folder(spark).rstrip('/')}/utterscope/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` to the shared folder and read it back.
 
@@ -29,7 +34,7 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     next to nothing to ask for.
     """
     spark = frame.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/utterscope/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -185,6 +185,19 @@ def test_consistency_skips_zero_vectors(spark):
     assert dict(rows(semantic.cross_split_similarity(frame)))["z"] == 0.0
 
 
+@pytest.mark.parametrize(
+    "data, reason",
+    [
+        ([], "no label occurs in both splits"),
+        ([(1, "train", "z", [1.0, 0.0]), (2, "test", "y", [1.0, 0.0])], "no label occurs in both splits"),
+        ([(1, "train", "z", [0.0, 0.0]), (2, "test", "z", [1.0, 0.0])], "no label has a usable similarity"),
+    ],
+)
+def test_consistency_fails_where_nothing_is_left(spark, data, reason):
+    with pytest.raises(Exception, match=reason):
+        semantic.split_consistency(spark.createDataFrame(data, SCHEMA)).collect()
+
+
 @pytest.mark.parametrize("limit", [64 << 20, 600, 1])
 def test_nearest_centroid(emb, by_label, limit):
     means = {k[0]: v.mean(axis=0) for k, v in group("label").items()}

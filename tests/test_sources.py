@@ -205,7 +205,9 @@ def test_corpus_workflow(spark, corpora, tmp_path):
     assert tables["intra_semantic_similarity"].count() == 3 + 1
     assert tables["cross_semantic_similarity"].count() == 2
     assert tables["distribution_emd"].count() == 2
-    assert tables["distribution_kurtosis"].count() == 2
+    kurtosis = {r.label: r for r in tables["distribution_kurtosis"].collect()}
+    assert set(kurtosis) == {"pago", "saldo", "vacío"}
+    assert set(kurtosis["vacío"].asDict().values()) == {"vacío", None}
     out = str(tmp_path / "out")
     workflows.save(tables, out)
     back = spark.read.option("header", True).csv(f"{out}/ttr_inter_set_diff")

@@ -81,10 +81,11 @@ def _one_row_per_label(frame: DataFrame, values: dict[str, Column], order: list[
     return frame.groupBy("label").agg(*[F.max(values[name]).alias(name) for name in order])
 
 
-def kurtosis(hist: DataFrame) -> DataFrame:
+def kurtosis(hist: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     """Excess kurtosis (biased) of both kinds in both splits, one row per label of either split.
 
-    Null for up to three observations and for a constant series.
+    Null for up to three observations and for a constant series. ``manifest`` (``label``) adds a row of
+    nulls for labels without any text.
     """
     group = Window.partitionBy("label", "kind", "split")
     n, x = F.col("n"), F.col("x")
@@ -110,7 +111,10 @@ def kurtosis(hist: DataFrame) -> DataFrame:
         for split in ("test", "train")
         for kind in (SENTENCE, WORD)
     }
-    return _one_row_per_label(moments.withColumn("value", value), columns, list(columns))
+    found = _one_row_per_label(moments.withColumn("value", value), columns, list(columns))
+    if manifest is None:
+        return found
+    return manifest.select("label").distinct().join(found, "label", "left")
 
 
 def divergences(hist: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -15,17 +17,29 @@ from utterscope.functions.text import tokens
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
+#: The encoder that this Python worker has loaded last, by the digest of its loader.
+_LOADED: dict[str, Encoder] = {}
+
+
+def _loaded(key: str, load_encoder: Callable[[], Encoder]) -> Encoder:
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = load_encoder()
+    return _LOADED[key]
+
 
 def encode(corpus: DataFrame, load_encoder: Callable[[], Encoder]) -> DataFrame:
     """Replace ``text`` by ``vec ARRAY<FLOAT>`` with an encoder of the caller.
 
-    ``load_encoder`` runs once per task on the executor and returns a function from a list of texts
+    ``load_encoder`` runs once per Python worker, which serves many tasks, and returns a function from a list of texts
     to a matrix with one row per text, such as the ``encode`` method of a sentence model.
     """
 
+    key = hashlib.sha256(cloudpickle.dumps(load_encoder)).hexdigest()
+
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = load_encoder()
+        encoder = _loaded(key, load_encoder)
         for texts in batches:
             if len(texts) == 0:
                 yield pd.Series([], dtype=object)

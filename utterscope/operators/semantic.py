@@ -290,15 +290,31 @@ def split_consistency(emb: DataFrame, first: str = "train", second: str = "test"
     """``label, similarity, consistency`` for labels with a usable centroid in both splits.
 
     Zero centroids and values that are not finite are left out; order with
-    :func:`most_consistent_first` at the sink.
+    :func:`most_consistent_first` at the sink. Reading the result fails when the splits have no label
+    in common, or when no label has a usable similarity.
     """
-    products = _split_products(emb, first, second).where((F.col("aa") > 0) & (F.col("bb") > 0))
-    similarity = F.col("ab") / (F.sqrt("aa") * F.sqrt("bb"))
-    return (
+    products = _split_products(emb, first, second)
+    similarity = F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb"))
+    usable = ~F.isnan("similarity") & (F.abs("similarity") < float("inf"))
+    found = (
         products.select("label", similarity.alias("similarity"))
-        .where(~F.isnan("similarity") & (F.abs("similarity") < float("inf")))
+        .where(usable)
         .withColumn("consistency", F.col("similarity"))
     )
+    counts = products.agg(
+        F.count_if(F.col("aa").isNotNull() & F.col("bb").isNotNull()).alias("common"),
+        F.count_if(~F.isnan(similarity) & (F.abs(similarity) < float("inf"))).alias("usable"),
+    )
+    # A branch that gives no rows and fails where there is nothing to compare; the sums are shared.
+    fault = F.when(F.col("common") == 0, F.raise_error("no label occurs in both splits").cast("string")).when(
+        F.col("usable") == 0, F.raise_error("no label has a usable similarity").cast("string")
+    )
+    nothing = counts.where(fault.isNotNull()).select(
+        F.lit(None).cast(found.schema["label"].dataType).alias("label"),
+        F.lit(None).cast("double").alias("similarity"),
+        F.lit(None).cast("double").alias("consistency"),
+    )
+    return found.unionByName(nothing)
 
 
 def most_consistent_first(frame: DataFrame) -> DataFrame:

@@ -428,7 +428,8 @@ ORACLE: dict[str, str] = {
     ),
     "split_consistency": _with(
         _SPLIT_CENTROIDS,
-        f"""select label, {_r('s')} as similarity, {_r('s')} as consistency
+        f"""select label, {_r('s')} as similarity, {_r('s')} as consistency,
+          row_number() over (order by s desc, label) as position
         from ({_CROSS_SQL}) as crossed where s is not null and isfinite(s)""",
     ),
     "distinctiveness_cosine": _matrix(_cosine("a.c", "b.c")),

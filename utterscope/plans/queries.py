@@ -121,6 +121,14 @@ def _numbered(ordered: DataFrame, name: str) -> DataFrame:
     return at.select("report", name, place.cast("long").alias("position"))
 
 
+def _ranked_consistency(emb: DataFrame) -> DataFrame:
+    """Consistency with the place of each label in the order of the sink; one row per label."""
+    ordered = semantic.most_consistent_first(semantic.split_consistency(emb))
+    at = ordered.withColumn("at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.orderBy("at"))
+    return at.withColumn("position", place.cast("long")).drop("at")
+
+
 def _json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = views.table(spark, sf_dir, "documents")
     path = fresh_folder(spark, "json")
@@ -207,7 +215,7 @@ QUERIES: dict[str, Query] = {
     "centroid_pairs": _by_split(lambda e, c: semantic.centroid_pairs(c)),
     "similarity_edges": _by_split(lambda e, c: semantic.similarity_edges(c, EDGE_THRESHOLD)),
     "centroid_cross_split": _emb(semantic.cross_split_similarity),
-    "split_consistency": _emb(semantic.split_consistency),
+    "split_consistency": _emb(_ranked_consistency),
     "distinctiveness_cosine": _by_label(lambda e, c: semantic.similarity_matrix(c, "cosine")),
     "distinctiveness_euclidean": _by_label(lambda e, c: semantic.similarity_matrix(c, "euclidean")),
     "distinctiveness_rounded": _by_label(

@@ -49,11 +49,9 @@ def intent_tables(results: DataFrame) -> Tables:
 def entity_tables(results: DataFrame, reports_known: DataFrame | None = None) -> Tables:
     """The five entity tables for every report of a results table.
 
-    ``reports_known`` (one ``report`` column) keeps reports whose result table is empty.
+    ``reports_known`` (one ``report`` column) keeps reports whose result table is empty. The results
+    are read more than once: hand over a stored table.
     """
-    results = materialize(
-        results.select("report", "utterance", "entity", "correct", "engine", "method"), "entities"
-    )
     identified = materialize(entity.identification(results), "identification")
     metrics = entity.metrics_in_report_order(entity.metrics(results, reports_known))
     ordered = entity.breakdown_in_report_order
@@ -92,11 +90,14 @@ def lexical_tables(corpus: DataFrame, manifest: DataFrame | None = None) -> Tabl
     }
 
 
-def distribution_tables(corpus: DataFrame) -> Tables:
-    """``distribution_kurtosis``, ``distribution_emd`` and ``distribution_js`` from one histogram."""
+def distribution_tables(corpus: DataFrame, manifest: DataFrame | None = None) -> Tables:
+    """``distribution_kurtosis``, ``distribution_emd`` and ``distribution_js`` from one histogram.
+
+    ``manifest`` keeps labels whose files hold no text; they have nulls for their kurtosis.
+    """
     hist = materialize(distribution.histogram(corpus), "histogram")
     return {
-        "distribution_kurtosis": distribution.kurtosis(hist).orderBy("label"),
+        "distribution_kurtosis": distribution.kurtosis(hist, manifest).orderBy("label"),
         "distribution_emd": distribution.earth_movers_distance(hist).orderBy("label"),
         "distribution_js": distribution.js_divergence(hist).orderBy("label"),
     }
@@ -135,14 +136,18 @@ def analyze_corpus(
     test: Paths,
     train: Paths,
     load_encoder: Callable[[], encoding.Encoder] | None = None,
+    multi_line: bool = True,
 ) -> Tables:
-    """Lexical, distribution and semantic tables of two folders with one file per label."""
+    """Lexical, distribution and semantic tables of two folders with one file per label.
+
+    Files without quoted line breaks are read in parallel parts with ``multi_line=False``.
+    """
     folders = {"test": test, "train": train}
-    corpus = spread(corpora.read_corpus(spark, folders))
+    corpus = spread(corpora.read_corpus(spark, folders, multi_line=multi_line))
     manifest = corpora.read_corpus_manifest(spark, folders)
     return {
         **lexical_tables(corpus, manifest),
-        **distribution_tables(corpus),
+        **distribution_tables(corpus, manifest),
         **semantic_tables(corpus, manifest, load_encoder),
         "files_without_text": corpora.missing_files(corpus, manifest),
     }

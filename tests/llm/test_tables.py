@@ -100,7 +100,7 @@ def test_archive_round_trip(spark):
 
 
 def test_mix_odd_rows(spark):
-    schedule, stream = mix(frame(spark, ODD), rows_per_range=2)
+    schedule, stream = mix(frame(spark, ODD), rows_per_range=2, copies_per_partition=2)
     got = schedule.collect()
     assert len(got) == len(ODD) and all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in got)
     assert sorted(tuple(r) for r in stream.collect()) == sorted(tuple(r) for r in mix(frame(spark, ODD), rows_per_range=2)[1].collect())

@@ -21,8 +21,10 @@ from utterscope.llm.common import save, shards, small, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 SEED = 10
-#: Documents in one hash range of a source, and copies in one partition of the range sort, about.
+#: Documents in one hash range of a source, about.
 ROWS_PER_RANGE = 2_000
+#: Copies in one partition of the range sort, about; there are at least as many partitions as in any shuffle.
+COPIES_PER_PARTITION = 500_000
 
 
 def source_targets(totals: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
@@ -67,6 +69,7 @@ def mix(
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
     rows_per_range: int = ROWS_PER_RANGE,
+    copies_per_partition: int = COPIES_PER_PARTITION,
 ) -> tuple[DataFrame, DataFrame]:
     """``(schedule, stream)``.
 
@@ -134,7 +137,8 @@ def mix(
     # Twice the common level serves every source twice over or whole: no later copy can be reached.
     copies = copies.withColumn("finish", finish).where("target > 0 and finish <= 2")
     order = ["finish", "draw", "doc_id", "hash", "row"]
-    parts = shards(measured.count() * max_epochs, rows_per_range)
+    least = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, shards(measured.count() * max_epochs, copies_per_partition))
     stream = save(
         copies.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)

@@ -98,6 +98,41 @@ def test_markov_finds_random_tokens_and_leaves_identifiers_alone(spark):
     assert got[201].spans == ""
 
 
+def test_markov_finds_secrets_of_alphabets_that_no_sample_shows(spark):
+    import random
+    import string
+
+    draw = random.Random(5)
+    key = lambda alphabet, n: "".join(draw.choice(alphabet) for _ in range(n))
+    lower, digits = string.ascii_lowercase, string.digits
+    kinds = {
+        "base62": lambda: key(string.ascii_letters + digits, 32),
+        "base64": lambda: key(string.ascii_letters + digits + "+/", 40),
+        "ghp": lambda: "ghp_" + key(string.ascii_letters + digits, 36),
+        "sk_live": lambda: "sk_live_" + key(string.ascii_letters + digits, 24),
+        "lower and digits": lambda: key(lower + digits, 32),
+        "upper and digits": lambda: key(string.ascii_uppercase + digits, 32),
+    }
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    wanted = {}
+    for kind, make in kinds.items():
+        for _ in range(10):
+            wanted[len(texts) + 10**6] = kind
+            texts[len(texts) + 10**6] = f"see {make()} here"
+    names = ["internationalization", "getElementsByTagNameAndClass", "INTERNATIONALIZATION_SETTINGS", "4952935900253052"]
+    plain = {}
+    for name in names:
+        plain[len(texts) + 10**6] = name
+        texts[len(texts) + 10**6] = f"see {name} here"
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.n_markov for r in scan_secrets(table).collect()}
+    for kind in kinds:
+        found = sum(got[i] for i, k in wanted.items() if k == kind)
+        assert found >= 8, (kind, found)
+    assert [name for i, name in plain.items() if got[i]] == []
+    assert sum(n for i, n in got.items() if i < 10**6) == 0
+
+
 @pytest.mark.parametrize("name", ["op1_license_scan", "op5_secret_scan"])
 def test_whole_table(spark, name):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}

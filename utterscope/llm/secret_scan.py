@@ -1,10 +1,14 @@
-"""Secret scan: base patterns, and two character Markov models compared by log-likelihood ratio; no Python on the executors.
+"""Secret scan: base patterns, and character Markov models compared by log-likelihood ratio; no Python on the executors.
 
-Both models count transitions between neighbouring characters. The labelled samples come from all
+Two models count transitions between neighbouring characters. The labelled samples come from all
 documents: values that a base pattern marks are random strings, other tokens of the same alphabet
-and length are ordinary identifiers. Counting combines before the shuffle and ends in at most
-2 * 128 * 128 numbers. A token that no base span touches becomes a span when the mean log-likelihood
-ratio of its transitions is at least ``MIN_MEAN`` and it mixes letters with digits.
+and length are ordinary identifiers, but for those that change between digits and letters or from lower
+to upper case too often to be one: they are only judged, or secrets would vouch for themselves. Counting combines before the shuffle and ends in at most
+2 * 128 * 128 numbers. The samples of random strings show only the alphabets that base patterns can
+mark, so uniform strings over each of ``CLASSES`` are random models as well. A token that no base span
+touches becomes a span when the mean log-likelihood ratio of its transitions, of any random model
+against the ordinary one, is at least ``MIN_MEAN`` and it holds a letter. A token without lower-case letters is read in
+lower case: its case tells nothing.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from utterscope.llm.common import lower_ascii
+
 # The base patterns, in the order of their kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -30,6 +36,15 @@ SMOOTHING = 0.5
 #: Weight of the single-character frequencies, in transitions. It is large because secrets that no base
 #: pattern marks are among the ordinary tokens and must not vouch for their own transitions.
 BACK_OFF = 200.0
+#: Places where the class of characters changes, and their largest share in a token that the ordinary model learns from.
+CHANGE = r"[a-z](?=[A-Z0-9])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])"
+MAX_CHANGES = 0.2
+#: Alphabets of random strings that need no sample, after the lower case of one-case tokens.
+CLASSES = ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", ALPHABET)
+#: Share of a uniform choice in the learned models, so that no unseen character decides alone.
+UNIFORM = 0.05
+#: The same for characters outside a class.
+OUTSIDE = 0.001
 _SPANS = "array<struct<start:long,kind:int,end:long,value:string>>"
 
 
@@ -87,8 +102,8 @@ def _scanned(documents: DataFrame, id_column: str, text_column: str) -> DataFram
 
 
 def _transitions(value: Column) -> Column:
-    """Codes of neighbouring characters: 128 * first + second."""
-    characters = F.split(value, "")
+    """Codes of neighbouring characters: 128 * first + second; one-case values in lower case."""
+    characters = F.split(F.when(F.rlike(value, F.lit("[a-z]")), value).otherwise(lower_ascii(value)), "")
     n = F.size(characters)
     return F.zip_with(
         F.slice(characters, F.lit(1), F.greatest(n - 1, F.lit(0))),
@@ -97,16 +112,23 @@ def _transitions(value: Column) -> Column:
     )
 
 
-def train(scanned: DataFrame) -> list[float]:
-    """Log-likelihood ratio of every transition code, random strings against ordinary identifiers.
+def _plain(token: Column) -> Column:
+    """Whether a token has few enough changes of class to be an ordinary identifier."""
+    changes = F.size(F.regexp_extract_all(token["value"], F.lit(CHANGE), F.lit(0)))
+    return changes <= MAX_CHANGES * (F.length(token["value"]) - 1)
+
+
+def train(scanned: DataFrame) -> list[list[float]]:
+    """Log-likelihood ratios of every transition code against ordinary identifiers, one list per random model.
 
-    Without any sample of either kind all ratios are 0 and nothing is found.
+    Without any ordinary token to learn from there is no list and nothing is found; without any sample
+    of random strings only the uniform models are left.
     """
     value = F.when(F.col("span.kind") == 0, F.regexp_extract(F.col("span.value"), ASSIGN, 2)).otherwise(
         F.col("span.value")
     )
     counts = (
-        scanned.select(F.explode(F.concat("base", "tokens")).alias("span"))
+        scanned.select(F.explode(F.concat("base", F.filter("tokens", _plain))).alias("span"))
         .select((F.col("span.kind") < 3).alias("random"), F.explode(_transitions(value)).alias("code"))
         .groupBy("random", "code")
         .count()
@@ -115,21 +137,27 @@ def train(scanned: DataFrame) -> list[float]:
     models = {True: {}, False: {}}
     for row in counts:
         models[row["random"]][row["code"]] = row["count"]
-    ratios = [0.0] * (128 * 128)
-    if not (models[True] and models[False]):
-        return ratios
+    if not models[False]:
+        return []
     codes = [ord(c) for c in ALPHABET]
-    logs = {kind: _log_probabilities(counts, codes) for kind, counts in models.items()}
-    for code in logs[True]:
-        ratios[code] = round(logs[True][code] - logs[False][code], 4)
-    return ratios
+    ordinary = _log_probabilities(models[False], codes)
+    randoms = [_uniform(characters, codes) for characters in CLASSES]
+    if models[True]:
+        randoms.append(_log_probabilities(models[True], codes))
+    out = []
+    for logs in randoms:
+        ratios = [0.0] * (128 * 128)
+        for code in logs:
+            ratios[code] = round(logs[code] - ordinary[code], 4)
+        out.append(ratios)
+    return out
 
 
 def _log_probabilities(counts: dict[int, int], codes: list[int]) -> dict[int, float]:
     """Logarithm of the probability of each transition, backed off to that of its second character.
 
     A first character that was hardly seen says little about the next one; the frequency of the next
-    one in the whole sample then decides.
+    one in the whole sample then decides, and a uniform choice where that was not seen either.
     """
     single = {b: SMOOTHING + sum(counts.get(a * 128 + b, 0) for a in codes) for b in codes}
     everything = sum(single.values())
@@ -138,10 +166,19 @@ def _log_probabilities(counts: dict[int, int], codes: list[int]) -> dict[int, fl
         total = sum(counts.get(a * 128 + b, 0) for b in codes)
         for b in codes:
             expected = BACK_OFF * single[b] / everything
-            out[a * 128 + b] = math.log((counts.get(a * 128 + b, 0) + expected) / (total + BACK_OFF))
+            learned = (counts.get(a * 128 + b, 0) + expected) / (total + BACK_OFF)
+            out[a * 128 + b] = math.log((1 - UNIFORM) * learned + UNIFORM / len(codes))
     return out
 
 
+def _uniform(characters: str, codes: list[int]) -> dict[int, float]:
+    """The same for strings that draw every character alike from ``characters``."""
+    inside = (1 - OUTSIDE) / len(characters)
+    return {
+        a * 128 + b: math.log(inside * (chr(b) in characters) + OUTSIDE / len(codes)) for a in codes for b in codes
+    }
+
+
 def _rendered(spans: Column) -> Column:
     ordered = F.array_sort(spans)
     names = F.array(*map(F.lit, KINDS))
@@ -164,13 +201,17 @@ def scan_secrets(
     and an empty table none. Other columns are not read.
     """
     scanned = _scanned(documents, id_column, text_column)
-    ratios = F.split(F.lit(",".join(map(str, train(scanned)))), ",").cast("array<double>")
+    models = [F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>") for ratios in train(scanned)]
 
     def secret(token: Column) -> Column:
         steps = _transitions(token["value"])
-        total = F.aggregate(steps, F.lit(0.0), lambda sum_, code: sum_ + F.get(ratios, code))
-        mixed = F.rlike(token["value"], F.lit("[0-9]")) & F.rlike(token["value"], F.lit("[A-Za-z]"))
-        return mixed & (total >= min_mean * (F.length(token["value"]) - 1))
+        least = min_mean * (F.length(token["value"]) - 1)
+        found = F.lit(False)
+        for ratios in models:
+            total = F.aggregate(steps, F.lit(0.0), lambda sum_, code: sum_ + F.get(ratios, code))
+            found = found | (total >= least)
+        # Random digits look like any account or telephone number.
+        return found & F.rlike(token["value"], F.lit("[A-Za-z]"))
 
     judged = scanned.withColumn("added", F.filter("tokens", secret))
     of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")

@@ -75,6 +75,30 @@ def test_licenses_match_brute_force(spark):
         assert 0 <= r.score <= 1 and (r.score == 0) == (r.labels == "")
 
 
+def test_licenses_bare_notice_and_one_altered_word(spark):
+    wanted = {
+        "Some text here.\nAll rights reserved.": ("all-rights-reserved", 1.0),
+        "(c) 2020 A. All Rights Reserved": ("all-rights-reserved", 1.0),
+        "all of the rights are reserved": ("", 0.0),
+        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.": ("mpl-2", 15 / 16),
+        "Lisenced under the Apache License, Version 2.0.": ("apache-2", 1.0),
+        "Licensed under the Apache Licence, Version 2.0.": ("apache-2", 7 / 8),
+        "x " * 130 + "Licensed under GNU Affero General Public License, version 3.": ("agpl-3", 9 / 10),
+        "Licensed under CC BY-NC 3.0.": ("cc-by-nc", 1.0),
+        "Licensed under CC BY-ND 4.0.": ("", 0.0),
+        "Licensed under the GNU Affero General Public License, version 2.": ("", 0.0),
+        "This work is licensed under the GNU General Public License, version 2.": ("", 0.0),
+        "This work is licenced under the GNU General Public License, version 3.": ("gpl-3", 11 / 12),
+        "Redistribution and use in source and binary form, with or without modification, are permitted "
+        "provided that the following conditions are met": ("bsd", 18 / 19),
+        "Licensed under Apache License, Version": ("", 0.0),
+    }
+    got = scan_licenses(frame(spark, list(wanted))).collect()
+    for r in got:
+        text = list(wanted)[r.doc_id]
+        assert (r.labels, pytest.approx(r.score)) == wanted[text], text
+
+
 def test_secrets_match_brute_force(spark):
     got = scan_secrets(frame(spark, SECRET_TEXTS)).collect()
     assert len(got) == len(SECRET_TEXTS) + 1

@@ -10,6 +10,11 @@ A text block is a window of consecutive words. A block meets a template when it
 - Length filter: the block must have at least o words that occur in templates at all.
 - Positional filter: from the first common word on, both sides must have enough words left.
 
+Two things are found as runs of words in the whole text instead: templates of fewer than ``LEAST_WORDS``
+distinct words, which a block could hold scattered, and templates whose threshold forgives no word,
+with one word missing or replaced that is not among ``REQUIRED``. With one such word at most, the first
+or the second half of the run is intact, so all texts without either are passed over.
+
 Templates are a constant of the program, so their table, the vocabulary and its counts are bounded.
 """
 
@@ -45,9 +50,24 @@ TEMPLATES = [
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by-sa", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("all-rights-reserved", "All rights reserved."),
     ("all-rights-reserved", "All rights reserved. No part of this publication may be reproduced"),
 ]
 THRESHOLD = 0.95
+#: Words that tell a license from others; of these none may be missing or replaced.
+REQUIRED = {
+    "mit": ("mit",),
+    "apache-2": ("apache", "2"),
+    "gpl-3": ("gnu", "general", "3"),
+    "lgpl-3": ("gnu", "lesser", "3"),
+    "agpl-3": ("gnu", "affero", "3"),
+    "mpl-2": ("mozilla", "2"),
+    "cc-by-nc": ("cc", "by", "nc", "creative", "commons", "attribution", "noncommercial"),
+    "cc-by-sa": ("creative", "commons", "attribution", "sharealike"),
+    "all-rights-reserved": ("all", "rights", "reserved"),
+}
+#: Templates of fewer distinct words are matched as a run only.
+LEAST_WORDS = 5
 #: Words of a block and the distance of block starts: every run of up to 64 words lies in one block.
 BLOCK, STEP = 128, 64
 
@@ -69,9 +89,41 @@ def _count(joined: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, " ")))
 
 
+def _phrase_words(phrase: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in phrase.lower()).split()
+
+
 def _template_words(phrase: str) -> list[str]:
-    kept = "".join(c if c.isalnum() else " " for c in phrase.lower())
-    return list(dict.fromkeys(kept.split()))
+    return list(dict.fromkeys(_phrase_words(phrase)))
+
+
+def _need(words: list[str], threshold: float) -> int:
+    return math.ceil(threshold * len(words) - 1e-9)
+
+
+def _runs(padded: Column, threshold: float) -> list[Column]:
+    """Label and containment of each template that ``padded`` holds as a run of words, else null."""
+    out = []
+    for label, phrase in TEMPLATES:
+        run, distinct = _phrase_words(phrase), _template_words(phrase)
+        if len(distinct) < LEAST_WORDS:
+            hit, containment = F.contains(padded, F.lit(f" {' '.join(run)} ")), 1.0
+        elif _need(distinct, threshold) == len(distinct):
+            half = len(run) // 2
+            intact = F.contains(padded, F.lit(f" {' '.join(run[:half])} ")) | F.contains(
+                padded, F.lit(f" {' '.join(run[half:])} ")
+            )
+            variants = []
+            for i, word in enumerate(run):
+                if word not in REQUIRED.get(label, ()):
+                    other = "(?:[^ ]+ )?" if 0 < i < len(run) - 1 else ""
+                    before, after = ("".join(f"{w} " for w in part) for part in (run[:i], run[i + 1 :]))
+                    variants.append(f"{before}{other}{after}")
+            hit, containment = intact & F.rlike(padded, F.lit(f" (?:{'|'.join(variants)})")), 1 - 1 / len(distinct)
+        else:
+            continue
+        out.append(F.when(hit, F.struct(F.lit(label).alias("label"), F.lit(containment).alias("containment"))))
+    return out
 
 
 def word_order(documents: DataFrame, text_column: str = "text") -> list[str]:
@@ -91,7 +143,8 @@ def scan_licenses(
     Words are runs of ASCII letters and digits, A to Z in lower case, and of characters beyond ASCII.
     ``n_base`` counts the places of the base phrases, ``first_word`` and ``last_word`` are their
     smallest and largest starts, null without any. ``labels`` adds those of the templates that any
-    block meets. ``score`` is 1 with a base phrase, else the largest containment of a template that is
+    block meets or that the text holds as a run, with one word missing or replaced where the threshold
+    forgives none. ``score`` is 1 with a base phrase, else the largest containment of a template that is
     met, else 0. A null, empty or wordless text has no words, no labels and score 0. Repeated rows give
     repeated results; an empty table gives none. Other columns are not read.
     """
@@ -100,7 +153,9 @@ def scan_licenses(
     prefixes, templates = [], []
     for number, (label, phrase) in enumerate(TEMPLATES):
         words = sorted(_template_words(phrase), key=rank.get)
-        need = math.ceil(threshold * len(words) - 1e-9)
+        if len(words) < LEAST_WORDS:
+            continue
+        need = _need(words, threshold)
         templates.append((number, label, words, need))
         prefixes += [(w, number, at) for at, w in enumerate(words[: len(words) - need + 1])]
     prefix_words = sorted({w for w, _, _ in prefixes})
@@ -111,7 +166,8 @@ def scan_licenses(
         F.col(id_column).alias("doc_id"),
         normal(F.col(text_column)).alias("joined"),
     )
-    padded = F.concat(F.lit(" "), F.col("joined"), F.lit(" "))
+    joined = joined.withColumn("padded", F.concat(F.lit(" "), F.col("joined"), F.lit(" ")))
+    padded = F.col("padded")
     found = []
     for phrase, label in BASE.items():
         # The look-ahead leaves the phrase in place, so phrases may follow each other directly.
@@ -146,6 +202,7 @@ def scan_licenses(
             "doc_id",
             "n_words",
             F.filter(F.array(*found), lambda hit: hit.isNotNull()).alias("base"),
+            F.filter(F.array(*_runs(padded, threshold)), lambda hit: hit.isNotNull()).alias("runs"),
             blocks.alias("blocks"),
         ),
         "license-scan",
@@ -171,6 +228,8 @@ def scan_licenses(
             F.max(F.col("common") / F.size("words")).alias("containment"),
         )
     )
+    run_labels = F.transform("runs", lambda hit: hit["label"])
+    run_best = F.coalesce(F.array_max(F.transform("runs", lambda hit: hit["containment"])), F.lit(0.0))
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda hit: hit["label"])))
     total = F.aggregate("base", F.lit(0).cast("long"), lambda n, hit: n + hit["places"])
     return scan.drop("blocks").join(met, "row", "left").select(
@@ -181,7 +240,14 @@ def scan_licenses(
         F.array_max(F.transform("base", lambda hit: hit["last"])).alias("last_word"),
         F.array_join(base_labels, ",").alias("base_labels"),
         F.array_join(
-            F.array_sort(F.array_union(base_labels, F.coalesce("met", F.array().cast("array<string>")))), ","
+            F.array_sort(
+                F.array_union(
+                    F.array_union(base_labels, run_labels), F.coalesce("met", F.array().cast("array<string>"))
+                )
+            ),
+            ",",
         ).alias("labels"),
-        F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("containment", F.lit(0.0))).alias("score"),
+        F.when(F.size("base") > 0, F.lit(1.0))
+        .otherwise(F.greatest(F.coalesce("containment", F.lit(0.0)), run_best))
+        .alias("score"),
     )

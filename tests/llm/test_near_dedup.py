@@ -101,6 +101,26 @@ def test_odd_rows(spark):
     assert near_dedup(frame.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, nearer, other = " ".join(words), " ".join([*words, "z"]), " ".join(f"v{i}" for i in range(60))
+    data = [
+        (None, near), (None, nearer), (None, near),
+        (5, other), (5, other), (6, other),
+        (8, " ".join(f"u{i}" for i in range(60))), (9, " ".join([*(f"u{i}" for i in range(60)), "z"])), (9, "a unique text under a repeated id"),
+        (10, ""), (10, ""), (None, None), (None, None),
+    ]
+    left = keep_one_of_each(spark.createDataFrame(data, "doc_id long, text string"), percent=85).collect()
+    ids = lambda start: [r.doc_id for r in left if (r.text or "").startswith(start)]
+    assert ids("w0") == [None]
+    assert ids("v0") == [5]
+    assert ids("u0") == [8]
+    assert ids("a unique") == [9]
+    assert sum(r.text == "" for r in left) == 2
+    assert sum(r.text is None for r in left) == 2
+    assert len(left) == 8
+
+
 def test_components(spark):
     draw = random.Random(1)
     chain = [(i, i + 1) for i in range(100, 160)]

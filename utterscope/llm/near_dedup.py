@@ -298,6 +298,13 @@ def near_dedup(
     ``kept`` tells whether the document has it. Repeated rows are kept together; ``keeper`` is true for
     exactly one row of each component. An empty table gives no rows. Other columns are not read.
     """
+    return _near_dedup(documents, id_column, text_column, percent, words).drop("text_hash")
+
+
+def _near_dedup(
+    documents: DataFrame, id_column: str, text_column: str, percent: int = 80, words: int = WORDS
+) -> DataFrame:
+    """The rows of :func:`near_dedup` and the text_hash of each."""
     rows = documents.select(
         F.col(id_column).cast("long").alias("doc_id"),
         F.xxhash64(F.col(text_column)).alias("text_hash"),
@@ -358,7 +365,7 @@ def near_dedup(
         lows.join(grouped, "root").where("component_size > 1").select("digest", "root", "component_id", "component_size"),
         "near-known",
     )
-    labelled = sketches.select("row", "doc_id", "n_shingles", "digest").join(
+    labelled = sketches.select("row", "doc_id", "text_hash", "n_shingles", "digest").join(
         small(known, 72), "digest", "left"
     )
     # One row per component stays: the smallest id, then the smallest row.
@@ -375,14 +382,35 @@ def near_dedup(
         ).alias("kept"),
         F.coalesce("component_size", F.lit(1)).alias("component_size"),
         (F.col("root").isNull() | F.col("first_row").isNotNull()).alias("keeper"),
+        "text_hash",
     )
 
 
 def keep_one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """``documents`` without the near duplicates: of each component the document of the smallest id stays.
+    """``documents`` without the near duplicates: of each component one row stays, one of the smallest id.
 
-    Rows are matched by id, so ids must tell documents apart; all rows that repeat a kept id stay.
+    Rows are matched by id, nulls included, and text hash. Rows equal in both lie in one component, so
+    none or one of them stays, or, for texts without words, which are linked with nothing, all of them.
+    Which one of such rows stays is open when they differ in other columns.
     """
-    result = near_dedup(documents, id_column, text_column, **options)
-    dropped = save(result.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "near-dropped")
-    return documents.join(small(dropped, 16), documents[id_column] == F.col("_id"), "left_anti")
+    result = _near_dedup(documents, id_column, text_column, **options)
+    dropped = save(
+        result.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.col("keeper").cast("int")).alias("_keep"))
+        .where("_keep < _rows")
+        .select("_id", "_hash", (F.col("_keep") > 0).alias("_one")),
+        "near-dropped",
+    )
+    hashed = documents.withColumn("_key", F.col(id_column).cast("long")).withColumn("_text", F.xxhash64(F.col(text_column)))
+
+    def same(table: DataFrame):
+        return hashed["_key"].eqNullSafe(table["_id"]) & (hashed["_text"] == table["_hash"])
+
+    known = small(dropped, 32)
+    left = hashed.join(known, same(known), "left_anti").select(*documents.columns)
+    repeated = dropped.where("_one")
+    if repeated.isEmpty():
+        return left
+    repeated = small(repeated, 32)
+    one = hashed.join(repeated, same(repeated), "left_semi").dropDuplicates(["_key", "_text"])
+    return left.unionByName(one.select(*documents.columns))

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from check import TABLES, normal
 from utterscope.llm.exact_dedup import exact_dedup, rice_decode, rice_encode
@@ -219,3 +220,13 @@ def test_pipeline(spark):
         docs = stage(spark, docs, SMALL)
         assert docs.columns == columns
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_mixed_documents_writes_the_copies_of_the_schedule_for_equal_rows(spark):
+    data = [(1, "a b c d", "s")] * 7 + [(2, "e f g", "t")] * 6 + [(3, "h i", "u")] * 5 + [(None, "k l", None)] * 3
+    table = spark.createDataFrame(data, "doc_id long, text string, source string")
+    schedule, _ = mix(table)
+    wanted = {r.source: r.n for r in schedule.groupBy("source").agg(F.sum("epochs").alias("n")).collect() if r.n}
+    uneven = schedule.groupBy("source").agg(F.countDistinct("epochs").alias("n")).where("n > 1").count()
+    assert uneven > 0
+    assert {r.source: r["count"] for r in mixed_documents(table).groupBy("source").count().collect()} == wanted

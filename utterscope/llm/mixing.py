@@ -171,25 +171,40 @@ def mix(
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with each row repeated as often as the mix takes it; other rows are left out.
 
-    Rows are matched by id, source and text hash, so equal rows share their copies evenly enough:
-    each gets the number of the first of them.
+    Rows are matched by id, source and text hash. Rows equal in all three are interchangeable: their
+    copies in the mix are shared out evenly, and where that leaves a rest the first of them get one more.
     """
     schedule, _ = mix(documents, **options)
     id_column, source, text = (
         options.get(k, v) for k, v in (("id_column", "doc_id"), ("source_column", "source"), ("text_column", "text"))
     )
+    total, n = F.sum("epochs"), F.count(F.lit(1))
     chosen = save(
-        schedule.where("epochs > 0")
-        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("hash").alias("_hash"))
-        .agg(F.max("epochs").cast("int").alias("_epochs")),
+        schedule.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("hash").alias("_hash"))
+        .agg(F.floor(total / n).cast("int").alias("_each"), (total % n).alias("_more"))
+        .where("_each > 0 or _more > 0"),
         "mix-chosen",
     )
-    joined = documents.join(
-        small(chosen, 96),
-        documents[id_column].eqNullSafe(F.col("_id"))
-        & documents[source].eqNullSafe(F.col("_source"))
-        & (F.xxhash64(documents[text]) == F.col("_hash")),
-    )
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(
-        *[documents[c] for c in documents.columns]
-    )
+
+    def joined(part: DataFrame) -> DataFrame:
+        return documents.join(
+            small(part, 96),
+            documents[id_column].eqNullSafe(F.col("_id"))
+            & documents[source].eqNullSafe(F.col("_source"))
+            & (F.xxhash64(documents[text]) == F.col("_hash")),
+        )
+
+    def copied(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(
+            *[documents[c] for c in documents.columns]
+        )
+
+    even = copied(joined(chosen.where("_more = 0")))
+    # Equal rows queue one after the other, so only where the cut meets a source can they differ.
+    uneven = chosen.where("_more > 0")
+    if uneven.isEmpty():
+        return even
+    number = F.row_number().over(Window.partitionBy("_id", "_source", "_hash").orderBy(F.lit(1)))
+    rest = joined(uneven).withColumn("_number", number)
+    rest = rest.withColumn("_each", F.col("_each") + (F.col("_number") <= F.col("_more")).cast("int"))
+    return even.unionByName(copied(rest.where("_each > 0")))

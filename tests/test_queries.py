@@ -1,9 +1,16 @@
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 from conftest import SMALL
 
 import __spark_entry__ as spark_entry
 from check import TABLES, normal
+from utterscope.plans.queries import QUERIES as CORE
 
 QUERIES = spark_entry.queries()
 ORACLE = spark_entry.oracle_sql()
@@ -23,6 +30,22 @@ def test_entry(spark):
     assert frame.count() > 0
 
 
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",), ("utterscope/llm/__pycache__",)])
+def test_the_core_works_without_the_training_data_operators(tmp_path, left):
+    tree = Path(spark_entry.__file__).parent
+    parts = shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py")
+    shutil.copytree(tree, tmp_path / "tree", ignore=parts)
+    for name in left:
+        if name.endswith(".py"):
+            (tmp_path / "tree" / name).write_text("import utterscope.llm.queries\n")
+        else:
+            (tmp_path / "tree" / name).mkdir(parents=True)
+    code = "import __spark_entry__ as e; print(len(e.queries()), set(e.oracle_sql()) <= set(e.queries()))"
+    alone = os.environ | {"PYTHONPATH": str(tmp_path / "tree")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=alone, capture_output=True, text=True)
+    assert done.stdout.split() == [str(len(CORE)), "True"], done.stderr
+
+
 def test_every_check_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 

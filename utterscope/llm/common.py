@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,6 +37,11 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/utterscope-llm/{spark.sparkContext.applicationId}"
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def save(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` to the shared folder and read it back.
 
@@ -95,3 +101,14 @@ def shards(n: int, rows: int) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most :data:`BATCH_ROWS` rows for the jobs that run inside."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)

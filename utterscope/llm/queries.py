@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterscope.llm.common import table
+from utterscope.llm.common import fresh_path, table
 from utterscope.llm.exact_dedup import exact_dedup
 from utterscope.llm.license_scan import scan_licenses
 from utterscope.llm.line_dedup import dedup_lines
@@ -15,6 +15,7 @@ from utterscope.llm.mixing import mix
 from utterscope.llm.near_dedup import near_dedup
 from utterscope.llm.packing import pack
 from utterscope.llm.secret_scan import scan_secrets
+from utterscope.llm.token_files import read_token_files, token_digests, write_token_files
 from utterscope.llm.toxicity import score_documents
 from utterscope.llm.vector_dedup import vector_dedup
 from utterscope.llm.warc import round_trip
@@ -66,6 +67,14 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), "taken")
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = fresh_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_digests(read_token_files(spark, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -77,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_near_dedup": op8_vector_near_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_source_mix": op10_source_mix,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLE = {

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterscope.llm.common import fresh_path, table
+from utterscope.llm.conversation_repair import damaged, repair_digests
 from utterscope.llm.exact_dedup import exact_dedup
 from utterscope.llm.license_scan import scan_licenses
 from utterscope.llm.line_dedup import dedup_lines
@@ -67,6 +68,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.select("doc_id", "source", "size", "source_size", F.col("target").cast("double"), "taken")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_digests(damaged(conversations), conversations)
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,10 +92,96 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_near_dedup": op8_vector_near_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_source_mix": op10_source_mix,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_token_files": op13_token_files,
 }
 
+
+
+def _walked() -> str:
+    """The repair in SQL: from row to row the best (cost, audit, text) of each of the four states."""
+
+    def then(state: str, cost: str, letter: str, line: str = "''") -> str:
+        said = f"r.{state}.t" if letter == "D" else f"r.{state}.t || chr(10) || {line}"
+        return f"case when r.{state} is not null then {{'c': r.{state}.c + {cost}, 'a': r.{state}.a || '{letter}', 't': {said}}} end"
+
+    def stays(state: str, initial: str, new: str | None) -> list[str]:
+        kept = f"case when not gone and i = '{initial}' then {then(state, 'late', 'K', 'line')} end"
+        given = f"case when not gone then {then(state, '1 + late', 'R', f"'{new}:' || text")} end"
+        return [kept, given] if new else [kept]
+
+    reached = {
+        "s0": [then("s0", "2", "D")],
+        "s1": [then("s1", "2", "D"), *stays("s0", "s", None)],
+        "s2": [then("s2", "2", "D"), *(x for s in ("s0", "s1", "s3") for x in stays(s, "u", "user"))],
+        "s3": [then("s3", "2", "D"), *stays("s2", "a", "assistant")],
+    }
+    step = ", ".join(f"list_min([{', '.join(of)}]) as {name}" for name, of in reached.items())
+    user, both = then("@", "5", "I", "'user:'"), then("@", "10", "II", "'user:' || chr(10) || 'assistant:'")
+    answer = then("@", "5", "I", "'assistant:'")
+    two = ", ".join(["r.s2", *(user.replace("@", s) for s in ("s0", "s1", "s3"))])
+    three = ", ".join(["r.s3", answer.replace("@", "s2"), *(both.replace("@", s) for s in ("s0", "s1"))])
+    return f"""
+      with recursive bits as (
+        select i::bigint as b, i::bigint as c, 0 as k from range(256) as r(i)
+        union all
+        select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+      crc as (select list(c order by b) as t from bits where k = 8),
+      keyed as (
+        select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+          list_prepend(4294967295, [ord(x)::bigint for x in string_split(
+            concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' ')), '')]) as bytes
+        from conversations),
+      drawn as (
+        select conv_id, turn, role, text, xor(list_reduce(bytes,
+          lambda acc, x : xor(acc >> 8, t[((xor(acc, x)) & 255) + 1])), 4294967295) % 20 as draw
+        from keyed, crc),
+      kept as (
+        select conv_id, turn, case when draw = 4 then 'user' else role end as role,
+          case draw when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+        from drawn, (select unnest([1, 2]) as copy) as copies where draw <> 0 and (copy = 1 or draw = 3)),
+      ordered as (
+        select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as n,
+          trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) as bare
+        from kept),
+      judged as (
+        select *, role[1] as i, concat(role, ':', text) as line, bare = '' as blank,
+          bare <> '' and row_number() over (partition by conv_id, role, text order by n) > 1 as again,
+          bare[-1] not in ('.', '!', '?') as cut,
+          concat(lag(role[1]) over (partition by conv_id order by n), role[1]) as pair
+        from ordered),
+      faults as (
+        select *, blank or again as gone, case when not blank and not again and cut then 5 else 0 end as late,
+          not blank and not again and cut as truncated
+        from judged),
+      walk as (
+        select conv_id, 0::bigint as n, {{'c': 0::bigint, 'a': '', 't': ''}} as s0,
+          case when false then {{'c': 0::bigint, 'a': '', 't': ''}} end as s1,
+          {{'c': 5::bigint, 'a': 'I', 't': chr(10) || 'user:'}} as s2,
+          {{'c': 10::bigint, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} as s3
+        from (select distinct conv_id from conversations) as ids
+        union all
+        select r.conv_id, r.n, r.s0, r.s1, list_min([{two}]), list_min([{three}])
+        from (
+          select r.conv_id, f.n, {step}
+          from walk as r join faults as f on f.conv_id = r.conv_id and f.n = r.n + 1) as r),
+      counted as (
+        select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (blank) as blank,
+          count(*) filter (again) as duplicate, count(*) filter (truncated) as truncated,
+          count(*) filter (n > 1 and pair not in ('su', 'ua', 'au')) as illegal, max(n) as n
+        from faults group by conv_id),
+      ended as (
+        select w.conv_id, list_min([w.s0, w.s3]) as best from walk as w left join counted as c on c.conv_id = w.conv_id
+        where w.n = coalesce(c.n, 0))
+      select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+        coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, best.c as cost, best.a as audit,
+        sha256(substring(best.t, 2)) as repaired_sha256
+      from ended as e left join counted as c on c.conv_id = e.conv_id
+    """
+
+
 ORACLE = {
+    "op11_conversation_repair": _walked(),
     "op2_line_dedup": """
       with lines as (
         select doc_id, row, unnest(string_split(coalesce(text, ''), chr(10))) as line,

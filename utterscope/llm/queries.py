@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from utterscope.llm.common import fresh_path, table
 from utterscope.llm.conversation_repair import damaged, repair_digests
 from utterscope.llm.exact_dedup import exact_dedup
+from utterscope.llm.lexical_search import search
 from utterscope.llm.license_scan import scan_licenses
 from utterscope.llm.line_dedup import dedup_lines
 from utterscope.llm.mixing import mix
@@ -73,6 +74,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digests(damaged(conversations), conversations)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_source_mix": op10_source_mix,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_lexical_search": op12_lexical_search,
     "op13_token_files": op13_token_files,
 }
 
@@ -180,7 +186,33 @@ def _walked() -> str:
     """
 
 
+_SEARCH_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 ORACLE = {
+    "op12_lexical_search": f"""
+      with docs as (select row_number() over () as row, doc_id, {_SEARCH_TERMS} as terms from documents),
+      sizes as (select row, doc_id, len(terms)::bigint as n from docs where len(terms) > 0),
+      whole as (select count(*)::bigint as docs, sum(n)::bigint as terms from sizes),
+      asked as (
+        select item, item_id, term, count(*) as often
+        from (select row_number() over () as item, item_id, unnest({_SEARCH_TERMS}) as term from benchmark) as b
+        group by item, item_id, term),
+      held as (
+        select row, term, count(*)::bigint as tf from (select row, unnest(terms) as term from docs) as d
+        where term in (select term from asked) group by row, term),
+      weights as (
+        select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)))::bigint as w
+        from held, whole group by term),
+      scores as (
+        select item, item_id, row, doc_id,
+          sum(often * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // terms)))))::bigint as score
+        from asked join held using (term) join weights using (term) join sizes using (row), whole
+        group by item, item_id, row, doc_id)
+      select item_id, rank::integer as rank, doc_id, score
+      from (select *, row_number() over (partition by item order by score desc, doc_id) as rank from scores where score > 0) as r
+      where rank <= 20
+    """,
     "op11_conversation_repair": _walked(),
     "op2_line_dedup": """
       with lines as (

@@ -222,6 +222,34 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
 
 
+#: Names of columns that operators and stages use inside or add themselves, now or in earlier versions.
+CLASHING = (
+    "_keep _doc _hash _dropped _key _text _id _source _each _copy _more _number _one score held_out predicted "
+    "kept_text n_lines n_dropped keep doc hash dropped key text_hash id_ source_ hash_ each more copy number one "
+    "row size epochs taken target finish part lot bin shard piece rep digest minima shingles keeper Kept N_Rows"
+).split()
+
+
+def test_stages_give_clashing_columns_back(spark):
+    import corpus_pipeline
+
+    plain = spark.read.parquet(f"{SMALL}/documents.parquet")
+    copies = plain.where("doc_id % 20 = 0")
+    plain = plain.unionByName(copies.withColumn("doc_id", F.col("doc_id") + 10**6))
+    clashing = plain.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id")).alias(c) for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES:
+        expected = stage(spark, plain, SMALL)
+        got = stage(spark, clashing, SMALL)
+        if name != "packing":
+            assert got.columns == clashing.columns, name
+            wrong = " or ".join(f"not `{c}` <=> concat('{c}:', doc_id)" for c in CLASHING)
+            assert got.where(wrong).count() == 0, name
+        columns = expected.columns
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, expected.collect())), name
+    lines = dedup_lines(clashing.drop("kept_text", "n_lines", "n_dropped"))
+    assert lines.where("_keep <> concat('_keep:', doc_id)").count() == 0
+
+
 def test_mixed_documents_writes_the_copies_of_the_schedule_for_equal_rows(spark):
     data = [(1, "a b c d", "s")] * 7 + [(2, "e f g", "t")] * 6 + [(3, "h i", "u")] * 5 + [(None, "k l", None)] * 3
     table = spark.createDataFrame(data, "doc_id long, text string, source string")

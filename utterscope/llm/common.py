@@ -112,3 +112,26 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(BATCH_SETTING, before)
+
+
+def fresh_names(frame: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores ahead until no column of ``frame`` and no earlier one is called so."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def set_aside(frame: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``frame`` with its columns of these names renamed, and columns that give it back as it was.
+
+    For operators that add columns of these names: the caller's own come through unchanged.
+    """
+    wanted = {n.lower() for n in names}
+    clashing = [c for c in frame.columns if c.lower() in wanted]
+    new = dict(zip(clashing, fresh_names(frame, *clashing)))
+    return frame.withColumnsRenamed(new), [F.col(f"`{new.get(c, c)}`").alias(c) for c in frame.columns]

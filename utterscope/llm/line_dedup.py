@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from utterscope.llm.common import BLANKS, lower_ascii, save, shards, small
+from utterscope.llm.common import BLANKS, fresh_names, lower_ascii, save, shards, small
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -103,29 +103,24 @@ def dedup_lines(documents: DataFrame, id_column: str = "doc_id", text_column: st
     ``documents`` that has the name of an added one is replaced.
     """
     bitmaps = keep_bitmaps(documents, id_column, text_column, **options)
-    matched = small(bitmaps, 128).select(
-        F.col("doc_id").alias("_doc"),
-        F.col("text_hash").alias("_hash"),
-        F.col("keep").alias("_keep"),
-        F.col("n_dropped").alias("_dropped"),
-    )
+    doc, text_hash, keep, dropped = fresh_names(documents, "doc", "hash", "keep", "dropped")
+    matched = small(bitmaps, 128).toDF(doc, text_hash, keep, dropped)
     joined = documents.join(
         matched,
-        documents[id_column].eqNullSafe(F.col("_doc"))
-        & (F.xxhash64(documents[text_column]) == F.col("_hash")),
+        documents[id_column].eqNullSafe(F.col(doc)) & (F.xxhash64(documents[text_column]) == F.col(text_hash)),
         "left",
     )
     lines = _lines(documents[text_column])
     stays = lambda line, i: F.expr("1") == F.coalesce(
-        F.getbit(F.get("_keep", (i / 64).cast("int")), i % 64), F.lit(1)
+        F.getbit(F.get(keep, (i / 64).cast("int")), i % 64), F.lit(1)
     )
-    rebuilt = F.when(F.col("_keep").isNull(), F.coalesce(documents[text_column], F.lit(""))).otherwise(
+    rebuilt = F.when(F.col(keep).isNull(), F.coalesce(documents[text_column], F.lit(""))).otherwise(
         F.array_join(F.filter(lines, stays), "\n")
     )
     added = {
         "kept_text": rebuilt,
         "n_lines": F.size(lines).cast("long"),
-        "n_dropped": F.coalesce("_dropped", F.lit(0).cast("long")),
+        "n_dropped": F.coalesce(dropped, F.lit(0).cast("long")),
     }
     return joined.select(
         *[documents[c] for c in documents.columns if c not in added],

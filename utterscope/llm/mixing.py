@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from utterscope.llm.common import save, shards, small, word_count
+from utterscope.llm.common import fresh_names, save, shards, small, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -179,32 +179,34 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
         options.get(k, v) for k, v in (("id_column", "doc_id"), ("source_column", "source"), ("text_column", "text"))
     )
     total, n = F.sum("epochs"), F.count(F.lit(1))
+    names = fresh_names(documents, "id_", "source_", "hash_", "each", "more", "copy", "number")
+    of_id, of_source, of_hash, each, more, copy, number = names
     chosen = save(
-        schedule.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("hash").alias("_hash"))
-        .agg(F.floor(total / n).cast("int").alias("_each"), (total % n).alias("_more"))
-        .where("_each > 0 or _more > 0"),
+        schedule.groupBy(F.col("doc_id").alias(of_id), F.col("source").alias(of_source), F.col("hash").alias(of_hash))
+        .agg(F.floor(total / n).cast("int").alias(each), (total % n).alias(more))
+        .where((F.col(each) > 0) | (F.col(more) > 0)),
         "mix-chosen",
     )
 
     def joined(part: DataFrame) -> DataFrame:
         return documents.join(
             small(part, 96),
-            documents[id_column].eqNullSafe(F.col("_id"))
-            & documents[source].eqNullSafe(F.col("_source"))
-            & (F.xxhash64(documents[text]) == F.col("_hash")),
+            documents[id_column].eqNullSafe(F.col(of_id))
+            & documents[source].eqNullSafe(F.col(of_source))
+            & (F.xxhash64(documents[text]) == F.col(of_hash)),
         )
 
     def copied(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(
+        return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(each)))).select(
             *[documents[c] for c in documents.columns]
         )
 
-    even = copied(joined(chosen.where("_more = 0")))
+    even = copied(joined(chosen.where(F.col(more) == 0)))
     # Equal rows queue one after the other, so only where the cut meets a source can they differ.
-    uneven = chosen.where("_more > 0")
+    uneven = chosen.where(F.col(more) > 0)
     if uneven.isEmpty():
         return even
-    number = F.row_number().over(Window.partitionBy("_id", "_source", "_hash").orderBy(F.lit(1)))
-    rest = joined(uneven).withColumn("_number", number)
-    rest = rest.withColumn("_each", F.col("_each") + (F.col("_number") <= F.col("_more")).cast("int"))
-    return even.unionByName(copied(rest.where("_each > 0")))
+    place = F.row_number().over(Window.partitionBy(of_id, of_source, of_hash).orderBy(F.lit(1)))
+    rest = joined(uneven).withColumn(number, place)
+    rest = rest.withColumn(each, F.col(each) + (F.col(number) <= F.col(more)).cast("int"))
+    return even.unionByName(copied(rest.where(F.col(each) > 0)))

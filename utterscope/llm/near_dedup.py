@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utterscope.llm.common import save, slices, small
+from utterscope.llm.common import fresh_names, save, slices, small
 from utterscope.llm.components import components
 
 WORDS = 5
@@ -394,23 +394,26 @@ def keep_one_of_each(documents: DataFrame, id_column: str = "doc_id", text_colum
     Which one of such rows stays is open when they differ in other columns.
     """
     result = _near_dedup(documents, id_column, text_column, **options)
+    key, text, of_id, of_hash, one = fresh_names(documents, "key", "text_hash", "id_", "hash_", "one")
     dropped = save(
-        result.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        .agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.col("keeper").cast("int")).alias("_keep"))
-        .where("_keep < _rows")
-        .select("_id", "_hash", (F.col("_keep") > 0).alias("_one")),
+        result.groupBy(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash))
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("keeper").cast("int")).alias("n_kept"))
+        .where("n_kept < n_rows")
+        .select(of_id, of_hash, (F.col("n_kept") > 0).alias(one)),
         "near-dropped",
     )
-    hashed = documents.withColumn("_key", F.col(id_column).cast("long")).withColumn("_text", F.xxhash64(F.col(text_column)))
+    hashed = documents.select(
+        "*", F.col(id_column).cast("long").alias(key), F.xxhash64(F.col(text_column)).alias(text)
+    )
 
     def same(table: DataFrame):
-        return hashed["_key"].eqNullSafe(table["_id"]) & (hashed["_text"] == table["_hash"])
+        return hashed[key].eqNullSafe(table[of_id]) & (hashed[text] == table[of_hash])
 
     known = small(dropped, 32)
     left = hashed.join(known, same(known), "left_anti").select(*documents.columns)
-    repeated = dropped.where("_one")
+    repeated = dropped.where(F.col(one))
     if repeated.isEmpty():
         return left
     repeated = small(repeated, 32)
-    one = hashed.join(repeated, same(repeated), "left_semi").dropDuplicates(["_key", "_text"])
-    return left.unionByName(one.select(*documents.columns))
+    kept = hashed.join(repeated, same(repeated), "left_semi").dropDuplicates([key, text])
+    return left.unionByName(kept.select(*documents.columns))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterscope.llm.common import save, table
+from utterscope.llm.common import save, set_aside, table
 from utterscope.llm.line_dedup import dedup_lines
 from utterscope.llm.mixing import mixed_documents
 from utterscope.llm.near_dedup import keep_one_of_each
@@ -21,8 +21,8 @@ NEAR_PERCENT = 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    scored = score_documents(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    plain, own = set_aside(docs, "held_out", "score", "predicted")
+    return score_documents(plain, table(spark, sf_dir, "labels")).where("predicted = 0").select(*own)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +30,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A text that loses nothing stays as it is, null included; ``n_chars`` follows the text.
     """
-    cleaned = dedup_lines(docs)
+    plain, own = set_aside(docs, "kept_text", "n_lines", "n_dropped")
     lost = F.col("n_dropped") > 0
-    changed = {
-        "text": F.when(lost, F.col("kept_text")).otherwise(F.col("text")),
-        "n_chars": F.when(lost, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")),
-    }
-    return cleaned.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    changed = {"text": F.when(lost, F.col("kept_text")).otherwise(F.col("text")).alias("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(lost, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return dedup_lines(plain).select(*[changed.get(c, column) for c, column in zip(docs.columns, own)])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
 import csv
+import gzip
 import io
+import random
+from collections import defaultdict
+from urllib.parse import unquote
 
 import pytest
 from conftest import rows
@@ -7,7 +11,7 @@ from pyspark.sql import functions as F
 
 from utterscope.operators import intent
 from utterscope.plans import workflows
-from utterscope.sources import corpus, files, reports
+from utterscope.sources import corpus, files, quoted, reports
 
 HEADER = (
     "Utterance,ExpectedIntent,MatchedIntent,ResultType,Entity Name,Entity Result,"
@@ -82,11 +86,84 @@ def test_reports_of_any_width_keep_all_cells(spark, tmp_path):
     assert (found["ho"].extra, found["a\nb"].extra, found["a\nb"].result_type) == ({}, {}, "FN")
 
 
-def test_cells_beyond_every_line_are_reported(spark, tmp_path):
+def test_cells_beyond_every_line_are_kept(spark, tmp_path):
     (tmp_path / "odd.csv").write_text('Utterance,ResultType\n"a\nb",TP,"x\ny",z\n', encoding="utf-8")
     split = reports.split_reports(spark, str(tmp_path))
-    assert rows(reports.rejects(split)) == [("odd", reports.TOO_WIDE)]
-    assert reports.results(split).first().utterance == "a\nb"
+    assert reports.rejects(split).count() == 0
+    row = reports.results(split).first()
+    assert (row.utterance, row.result_type, row.extra) == ("a\nb", "TP", {"_c2": "x\ny", "_c3": "z"})
+
+
+def test_stray_quotes_above_the_header_hide_nothing(spark, tmp_path):
+    above = 'Bot,"Bank\n"Height,5" pipe\n""",x\n'
+    table = 'Utterance,ResultType\nhi,TP\n5" pipe,"FN"\n"a ""b""\n,c",FP\n'
+    (tmp_path / "stray.csv").write_text(above + table, encoding="utf-8")
+    (tmp_path / "crlf.csv").write_bytes((above + table).replace("\n", "\r\n").encode())
+    (tmp_path / "latin.csv").write_bytes("Utterance,ResultType\nñ,TP\n".encode("latin-1"))
+    (tmp_path / "open.csv").write_text('Utterance,ResultType\nhi,TP\n"never closed,TP\nx,FP\n')
+    split = reports.split_reports(spark, str(tmp_path))
+    expected = [("hi", "TP"), ('5" pipe', "FN"), ('a "b"\n,c', "FP")]
+    for name in ("stray", "crlf"):
+        found = reports.results(split).where(f"report = '{name}'")
+        assert rows(found.select("utterance", "result_type")) == sorted(expected)
+    assert rows(reports.rejects(split)) == [("latin", quoted.NOT_TEXT), ("open", quoted.UNCLOSED)]
+    assert rows(reports.results(split).select("report").distinct()) == [("crlf",), ("stray",)]
+
+
+def plain_records(path, header_cell):
+    """Records of one file by one reader over all of its lines."""
+    lines = path.read_text(encoding="utf-8").splitlines()
+    starts = [i for i, x in enumerate(lines) if header_cell is None or x.partition(",")[0].strip().strip('"') == header_cell]
+    if not starts:
+        return []
+    return [[c or None for c in r] for r in csv.reader(f"{x}\n" for x in lines[starts[0] :]) if r]
+
+
+@pytest.mark.parametrize("header_cell,limit", [("Utterance", 1 << 20), ("Utterance", 0), (None, 1 << 20), (None, 0)])
+def test_records_of_files_cut_anywhere(spark, tmp_path, header_cell, limit):
+    draw = random.Random(5)
+    pieces = ["a", "é日", '"', '""', ",", "\n", ' "', '",', ',"', "Utterance", "Utterance,x\n", "\n\n", "long " * 20]
+    for i in range(12):
+        text = "".join(draw.choice(pieces) for _ in range(draw.randrange(1, 60)))
+        (tmp_path / f"f{i}.csv").write_text(text + "\n", encoding="utf-8")
+    (tmp_path / "wide cell.csv").write_text('Utterance,b\n"' + "line, of a ""quoted"" cell\n" * 150 + '",x\ny,"z\n"\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "61")
+    try:
+        found = quoted.read_records(spark, str(tmp_path), header_cell, limit=limit)
+        faults = {files_name(r.path): r.fault for r in found.files.collect()}
+        got = defaultdict(list)
+        for r in found.records.collect():
+            got[files_name(r.path)].append((not r.header, r.cells))
+        assert spark.read.text(str(tmp_path / "wide cell.csv")).rdd.getNumPartitions() > 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    closed = 0
+    for path in tmp_path.glob("*.csv"):
+        lines = path.read_text(encoding="utf-8").splitlines()
+        starts = [i for i, x in enumerate(lines) if header_cell is None or x.partition(",")[0].strip().strip('"') == header_cell]
+        inside = False
+        for line in lines[starts[0] :] if starts else []:
+            inside = quoted.open_after(line, inside)
+        fault = quoted.NO_HEADER if not starts else quoted.UNCLOSED if inside else None
+        assert faults[path.name] == fault, path
+        expected = [] if fault else plain_records(path, header_cell)
+        closed += fault is None
+        assert sorted(got[path.name], key=repr) == sorted([(i > 0, r) for i, r in enumerate(expected)], key=repr)
+    assert closed >= 3
+
+
+def files_name(path):
+    return unquote(path.rpartition("/")[2])
+
+
+def test_the_state_behind_a_line_is_that_of_a_csv_reader():
+    draw = random.Random(6)
+    for _ in range(3000):
+        line = "".join(draw.choice('a",  "') for _ in range(draw.randrange(14)))
+        for ahead in ("", '"'):
+            got = list(csv.reader([ahead + "\n" * bool(ahead) + line + "\n", "end\n"]))
+            assert quoted.open_after(line, bool(ahead)) == (got[-1] != ["end"]), line
 
 
 def test_many_reports_in_one_task(spark, tmp_path):
@@ -187,9 +264,8 @@ def test_corpus(spark, corpora):
 
 def test_only_the_first_column_of_a_corpus_file_counts(spark, tmp_path):
     (tmp_path / "two.csv").write_text('Text,Note\n"a, b",x\nc,\n,only note\n', encoding="utf-8")
-    for multi_line in (True, False):
-        found = corpus.read_folder(spark, str(tmp_path), multi_line=multi_line)
-        assert rows(found) == [("two", "a, b"), ("two", "c")]
+    found = corpus.read_folder(spark, str(tmp_path))
+    assert rows(found) == [("two", "a, b"), ("two", "c")]
 
 
 def test_corpus_workflow(spark, corpora, tmp_path):

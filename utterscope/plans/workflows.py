@@ -30,7 +30,7 @@ def save(tables: Tables, folder: str) -> None:
 
 def process_reports(spark: SparkSession, paths: Paths) -> Tables:
     """Raw reports of any number: ``results``, ``metadata``, ``preamble`` and ``rejects``."""
-    split = materialize(reports.split_reports(spark, paths), "reports")
+    split = reports.split_reports(spark, paths)
     lines = materialize(reports.preamble(spark, paths), "preamble")
     return {
         "results": reports.results(split),
@@ -67,7 +67,7 @@ def entity_tables(results: DataFrame, reports_known: DataFrame | None = None) ->
 
 def evaluate_reports(spark: SparkSession, paths: Paths) -> Tables:
     """All intent and entity tables straight from raw reports or from split-off result tables."""
-    split = materialize(reports.split_reports(spark, paths), "reports")
+    split = reports.split_reports(spark, paths)
     results = reports.results(split)
     return {
         **intent_tables(results),

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from utterscope.functions.text import strip, unquote
 from utterscope.sources.files import file_stem, model_name
-from utterscope.sources.intermediate import broadcast_if_small, materialize
+from utterscope.sources.intermediate import BROADCAST_LIMIT_BYTES, broadcast_if_small, materialize
+from utterscope.sources.quoted import NO_HEADER, read_records
 
 # The first cell of the header row, the columns of the result table with the names
 # used by the operators, and the suffix of the tables of a split report.
@@ -31,8 +29,6 @@ RESULT_COLUMNS = {
 RESULTS_SUFFIX = "_results"
 
 PATH_ROW_BYTES = 4096
-NO_HEADER = "no data header"
-TOO_WIDE = "a row with line breaks has more cells than any line"
 
 _TEXT_COLUMNS = [name for name in RESULT_COLUMNS.values() if name != "correct"]
 
@@ -48,81 +44,67 @@ def report_name(stem: Column) -> Column:
     return F.regexp_replace(stem, f"{RESULTS_SUFFIX}\\z", "")
 
 
-def widest_line(spark: SparkSession, paths: str | list[str]) -> int:
-    """The greatest number of cells that a line can hold, from the commas in it; at least one."""
-    commas = F.length("value") - F.length(F.replace("value", F.lit(",")))
-    return (spark.read.text(paths).agg(F.max(commas)).first()[0] or 0) + 1
-
-
 def split_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Rows of the result tables of reports, and one row with ``reject`` per unusable report.
 
     Columns: ``report``, those of :data:`RESULT_COLUMNS`, ``extra`` with the other columns of the
     table, and ``reject``. Tables that are already split off are reports with an empty preamble.
 
-    Tables may have any width; a first pass over the lines finds the widest one. No cell is lost: in
+    The table begins at the first line whose first cell is :data:`HEADER_CELL`; what stands above it
+    may hold any quotes. Reports of any size are read in parallel parts, see
+    :func:`utterscope.sources.quoted.read_records`. Tables may have any width and no cell is lost: in
     ``extra`` a column without a name and a cell right of the header go by their position (``_c7``,
-    from 0, where they hold something), and a repeated name gets a number (``Note``, ``Note.1``). Only
-    a row with quoted line breaks can have cells beyond the widest line; a reject row tells of those.
-
-    A file with quoted line breaks cannot be cut, so Spark gives each file to one task, which reads
-    it as a stream. The Python side only finds the header row and slices Arrow batches; its memory
-    does not grow with the size of a report.
+    from 0, where they hold something), and a repeated name gets a number (``Note``, ``Note.1``).
     """
-    cells = [f"c{i}" for i in range(widest_line(spark, paths) + 1)]
-    parsed = (
-        spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in cells]))
-        .option("header", False)
-        .option("multiLine", True)
-        .option("maxColumns", max(20480, len(cells)))
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(paths)
-        .select(F.col("_metadata.file_path").alias("path"), *cells)
+    records, read = read_records(spark, paths, HEADER_CELL)
+    widths = records.groupBy("path").agg(
+        F.max(F.when(F.col("header"), F.col("cells"))).alias("cells"), F.max(F.size("cells")).alias("width")
     )
-    columns = ", ".join(f"{c} string" for c in ["path", *RESULT_COLUMNS.values(), "reject"])
-    picked = parsed.mapInArrow(
-        lambda batches: _result_batches(batches, cells), f"{columns}, extra map<string,string>"
+    # One row per report, with the place of every column that any of its rows has.
+    layouts = materialize(widths.mapInArrow(_layouts, LAYOUT), "layouts")
+    size = layouts.agg(F.coalesce(F.sum(F.size("others") * 64 + 512), F.lit(0)).alias("bytes")).first()["bytes"]
+    layouts = F.broadcast(layouts) if size <= BROADCAST_LIMIT_BYTES else layouts
+    placed = records.where(~F.col("header")).join(layouts, "path")
+    cell = {name: F.get("cells", F.col("places")[name]) for name in RESULT_COLUMNS.values()}
+    other = F.transform(
+        "others",
+        lambda o: F.struct(o["name"].alias("name"), F.get("cells", o["place"]).alias("value"), o["named"].alias("named")),
     )
-    rows = picked.withColumn("report", report_name(file_stem(F.col("path"))))
-    return rows.select(
-        "report", *_TEXT_COLUMNS, boolean(F.col("correct")).alias("correct"), "extra", "reject"
+    held = F.filter(other, lambda o: o["named"] | o["value"].isNotNull())
+    rows = placed.select(
+        "path",
+        *[cell[name].alias(name) for name in _TEXT_COLUMNS],
+        boolean(cell["correct"]).alias("correct"),
+        F.map_from_entries(F.transform(held, lambda o: F.struct(o["name"], o["value"]))).alias("extra"),
+        F.lit(None).cast("string").alias("reject"),
     )
+    nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[1:-1]]
+    faults = read.where(F.col("fault").isNotNull()).select("path", *nothing, F.col("fault").alias("reject"))
+    report = report_name(file_stem(F.col("path"))).alias("report")
+    return rows.unionByName(faults).select(report, *rows.columns[1:])
 
 
-def _result_batches(
-    batches: Iterator[pa.RecordBatch], cells: list[str]
-) -> Iterator[pa.RecordBatch]:
-    path, header, cut = None, None, False
+def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = batch.column("path").to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else []
-        # Rows arrive in file order; a batch may end one file and begin others.
-        for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
-            rows = batch.slice(start, stop - start)
-            if names[start] != path:
-                if path is not None and header is None:
-                    yield _rejected(path, NO_HEADER)
-                path, header = names[start], None
-            if header is None:
-                at = _header_row(rows.column("c0"))
-                if at is None:
-                    continue
-                header = [rows.column(c)[at].as_py() for c in cells]
-                rows, cut = rows.slice(at + 1), False
-            if rows.num_rows:
-                if not cut and rows.column(cells[-1]).null_count < rows.num_rows:
-                    yield _rejected(path, TOO_WIDE)
-                    cut = True
-                yield _result_rows(rows, header)
-    if path is not None and header is None:
-        yield _rejected(path, NO_HEADER)
-
-
-def _header_row(first_cells: pa.Array) -> int | None:
-    stripped = pc.utf8_trim(pc.utf8_trim_whitespace(first_cells.cast(pa.string())), '"')
-    at = pc.index(stripped, HEADER_CELL).as_py()
-    return at if at >= 0 else None
+        places, others = [], []
+        for header, width in zip(batch.column("cells").to_pylist(), batch.column("width").to_pylist()):
+            names = _column_names((header + [None] * width)[: max(width, len(header))])
+            at = {name: i for i, (name, _) in enumerate(names)}
+            places.append({target: at.get(source) for source, target in RESULT_COLUMNS.items()})
+            others.append([
+                {"name": name, "place": i, "named": named}
+                for i, (name, named) in enumerate(names) if name not in RESULT_COLUMNS
+            ])
+        columns = [batch.column("path"), pa.array(places, _PLACES_ARROW), pa.array(others, pa.list_(_OTHER_ARROW))]
+        yield pa.RecordBatch.from_arrays(columns, ["path", "places", "others"])
+
+
+_PLACES_ARROW = pa.struct([(name, pa.int32()) for name in RESULT_COLUMNS.values()])
+_OTHER_ARROW = pa.struct([("name", pa.string()), ("place", pa.int32()), ("named", pa.bool_())])
+LAYOUT = (
+    f"path string, places struct<{', '.join(f'{name}: int' for name in RESULT_COLUMNS.values())}>, "
+    "others array<struct<name: string, place: int, named: boolean>>"
+)
 
 
 def _column_names(header: list[str | None]) -> list[tuple[str, bool]]:
@@ -142,43 +124,6 @@ def _column_names(header: list[str | None]) -> list[tuple[str, bool]]:
     return names
 
 
-def _result_rows(rows: pa.RecordBatch, header: list[str | None]) -> pa.RecordBatch:
-    n = rows.num_rows
-    names = _column_names(header)
-    cell = {name: rows.column(f"c{i}").cast(pa.string()) for i, (name, _) in enumerate(names)}
-    extra = [(name, known) for name, known in names if name not in RESULT_COLUMNS]
-    # Column-wise cells become row-wise map entries with one gather; unnamed empty cells give none.
-    held = [np.full(n, True) if known else cell[name].is_valid().to_numpy(zero_copy_only=False) for name, known in extra]
-    present = np.array(held, bool).reshape(len(extra), n).T
-    at_row, at_column = np.nonzero(present)
-    items = pa.concat_arrays([cell[name] for name, _ in extra]) if extra else pa.nulls(0, pa.string())
-    entries = pa.MapArray.from_arrays(
-        pa.array(np.r_[0, np.cumsum(present.sum(axis=1))], pa.int32()),
-        pa.array([name for name, _ in extra], pa.string()).take(pa.array(at_column, pa.int64())),
-        items.take(pa.array(at_row + n * at_column, pa.int64())),
-    )
-    return _output(
-        rows.column("path").cast(pa.string()),
-        {t: cell.get(s, pa.nulls(n, pa.string())) for s, t in RESULT_COLUMNS.items()},
-        pa.nulls(n, pa.string()),
-        entries,
-    )
-
-
-def _rejected(path: str, reason: str) -> pa.RecordBatch:
-    empty = {target: pa.nulls(1, pa.string()) for target in RESULT_COLUMNS.values()}
-    no_extra = pa.nulls(1, pa.map_(pa.string(), pa.string()))
-    return _output(pa.array([path]), empty, pa.array([reason]), no_extra)
-
-
-def _output(
-    path: pa.Array, values: dict[str, pa.Array], reject: pa.Array, extra: pa.Array
-) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [path, *values.values(), reject, extra], names=["path", *values, "reject", "extra"]
-    )
-
-
 def results(split: DataFrame) -> DataFrame:
     """The result rows of :func:`split_reports`."""
     return split.where(F.col("reject").isNull()).drop("reject")

@@ -1,3 +1,4 @@
+import bz2
 import csv
 import gzip
 import io
@@ -268,6 +269,53 @@ def test_only_the_first_column_of_a_corpus_file_counts(spark, tmp_path):
     assert rows(found) == [("two", "a, b"), ("two", "c")]
 
 
+def test_damaged_corpus_files_give_one_reject_row(spark, tmp_path):
+    (tmp_path / "good.csv").write_text('T\n"a\nb"\nc\n', encoding="utf-8")
+    (tmp_path / "only header.csv").write_text("T\n", encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "latin.csv").write_bytes("T\nsí\nno\n".encode("latin-1"))
+    (tmp_path / "open.csv").write_text('T\nfine\n"never closed\nx\n')
+    scanned = corpus.scan_folder(spark, str(tmp_path))
+    assert rows(corpus.texts(scanned)) == [("good", "a\nb"), ("good", "c")]
+    expected = [("empty", quoted.NO_HEADER), ("latin", quoted.NOT_TEXT), ("open", quoted.UNCLOSED)]
+    assert rows(corpus.rejects(scanned)) == expected
+    tables = workflows.analyze_corpus(spark, str(tmp_path), str(tmp_path))
+    assert rows(tables["rejects"].where("split = 'test'").drop("split")) == expected
+    assert tables["intra_lexical"].where("split = 'train' and label = 'good'").first().vocab_size == 3
+
+
+def test_damaged_packed_files_give_one_reject_row(spark, tmp_path):
+    sound = gzip.compress(b'T\n"a\nb"\n' + b"".join(b"row %d\n" % i for i in range(2500)))
+    (tmp_path / "good.csv.gz").write_bytes(sound)
+    (tmp_path / "cut.csv.gz").write_bytes(sound[:-300])
+    (tmp_path / "not.csv.gz").write_bytes(b"T\nplain\n")
+    (tmp_path / "crc.csv.gz").write_bytes(sound[:-8] + b"\0" * 8)
+    (tmp_path / "zero.csv.gz").write_bytes(b"")
+    (tmp_path / "none.csv.gz").write_bytes(gzip.compress(b""))
+    (tmp_path / "latin.csv.gz").write_bytes(gzip.compress("T\nsí\n".encode("latin-1")))
+    (tmp_path / "open.csv.gz").write_bytes(gzip.compress(b'T\n"x\n'))
+    scanned = corpus.scan_folder(spark, str(tmp_path), ".csv.gz")
+    found = corpus.texts(scanned)
+    assert found.count() == 2501 and found.where("label = 'good' and text = 'a\nb'").count() == 1
+    reasons = {
+        "cut": corpus.UNREADABLE, "not": corpus.UNREADABLE, "crc": corpus.UNREADABLE, "zero": quoted.NO_HEADER,
+        "none": quoted.NO_HEADER, "latin": quoted.NOT_TEXT, "open": quoted.UNCLOSED,
+    }
+    assert rows(corpus.rejects(scanned)) == sorted(reasons.items())
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.csv.bz2").write_bytes(bz2.compress(b"T\none\n"))
+    assert rows(corpus.read_folder(spark, str(tmp_path / "b"), ".csv.bz2")) == [("x", "one")]
+
+
+def test_labels_from_folders(spark, tmp_path):
+    for name in ("label=a b", "label=c%3D"):
+        (tmp_path / name).mkdir()
+        for i in range(2):
+            (tmp_path / name / f"part-{i}.csv").write_text(f"T\n{name[-1]}{i}\n")
+    found = corpus.read_folder(spark, str(tmp_path), label_folders=True)
+    assert rows(found) == [("a b", "b0"), ("a b", "b1"), ("c=", "D0"), ("c=", "D1")]
+
+
 def test_corpus_workflow(spark, corpora, tmp_path):
     tables = workflows.analyze_corpus(spark, corpora["test"], corpora["train"])
     lexical = {(r.split, r.label): r.vocab_size for r in tables["intra_lexical"].collect()}
@@ -341,7 +389,7 @@ def test_json_round_trip(spark, tmp_path):
 
 def test_csv_round_trip(spark, tmp_path):
     frame = spark.createDataFrame(
-        [("a", 'say "hi", you', 1), ("b", "two\nlines", 2), ("b", None, 3)], "k string, t string, n int"
+        [("a", 'say "hi", you', 1), ("b", "two\nlines", 2), ("b", None, 3), ("b", " blanks  ", 4)], "k string, t string, n int"
     )
     files.write_csv(frame, str(tmp_path / "c"), ["k"])
     back = files.read_csv(spark, str(tmp_path / "c"), "t string, n int, k string")

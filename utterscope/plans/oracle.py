@@ -266,6 +266,14 @@ ORACLE: dict[str, str] = {
         )
         + " from everything",
     ),
+    "report_rows": """
+      select doc_id, nullif(regexp_replace(text, '\r\n|\r', '\n', 'g'), '') as utterance, nullif(lang, '') as expected,
+        nullif(source, '') as matched, cast(null as varchar) as result_type, cast(null as varchar) as reject
+      from documents""",
+    "corpus_files": f"""
+      select lang as label, regexp_replace(text, '\r\n|\r', '\n', 'g') as text, cast(null as varchar) as reject
+      from documents where text <> ''
+      union all select '{q.DAMAGED_LABEL}', null, 'a quoted cell is never closed'""",
     "json_round_trip": "select doc_id, text, lang, source from documents",
     "csv_round_trip": BATCH_SQL,
     "intent_order": _with(
@@ -298,6 +306,18 @@ ORACLE: dict[str, str] = {
           union all select distinct report, '', 1 from ent
           union all select distinct report, 'micro', 2 from ent) as listed""",
     ),
+    "entity_breakdown_order": _with(
+        _ENTITY_VIEWS,
+        """
+        select report, entity, method, category, sub_method, row_number() over (
+          partition by report order by entity, engine_n desc, method, category, n desc, sub_method) as position
+        from (
+          select report, entity, engine as method, n, n as engine_n, 'EntityIdentifiedBy' as category,
+            'Total' as sub_method from totals
+          union all
+          select f.report, f.entity, f.engine, f.n, t.n, 'entityIdentifiedUsing', f.method from fine f
+          join totals t on t.report = f.report and t.entity = f.entity and t.engine = f.engine) as listed""",
+    ),
     "entity_identification": _with(
         _ENTITY_VIEWS,
         f"""

@@ -24,6 +24,7 @@ from utterscope.operators import (
     semantic,
 )
 from utterscope.plans import views
+from utterscope.sources import corpus as corpora
 from utterscope.sources import files, reports
 from utterscope.sources.intermediate import fresh_folder, materialize, spread
 
@@ -121,6 +122,14 @@ def _numbered(ordered: DataFrame, name: str) -> DataFrame:
     return at.select("report", name, place.cast("long").alias("position"))
 
 
+def _numbered_breakdown(ent: DataFrame) -> DataFrame:
+    """The rows of the breakdown with their places in the order of the report; a handful per entity."""
+    ordered = entity.breakdown_in_report_order(entity.identification(ent))
+    at = ordered.withColumn("at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("report").orderBy("at"))
+    return at.select("report", "entity", "method", "category", "sub_method", place.cast("long").alias("position"))
+
+
 def _ranked_consistency(emb: DataFrame) -> DataFrame:
     """Consistency with the place of each label in the order of the sink; one row per label."""
     ordered = semantic.most_consistent_first(semantic.split_consistency(emb))
@@ -143,6 +152,37 @@ def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_csv(spark, path, results.schema)
 
 
+# Lines above the table of a written report, with quotes that open nothing there.
+PREAMBLE = ['Bot Name:,"Bank', '"Threshold:",5" pipe', "", 'Notes:,"a ""b""","c']
+ROWS_PER_REPORT = 5000
+DAMAGED_LABEL = "damaged"
+
+
+def _report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as rows of raw reports, written and split again; a report holds a range of ids."""
+    report = F.concat(F.lit("r"), F.expr(f"doc_id div {ROWS_PER_REPORT}")).alias("report")
+    documents = views.table(spark, sf_dir, "documents").select(report, "doc_id", "text", "lang", "source")
+    cells = F.to_csv(F.struct("text", "lang", "source", "doc_id"), files.EXACT | {"quoteAll": "true", "emptyValue": ""})
+    above = F.array(*[F.lit(line) for line in [*PREAMBLE, "Utterance,ExpectedIntent,MatchedIntent,Document"]])
+    heads = documents.select("report").distinct().select("report", F.posexplode(above).alias("place", "line"))
+    lines = heads.unionByName(documents.select("report", F.lit(len(PREAMBLE) + 1).alias("place"), cells.alias("line")))
+    path = fresh_folder(spark, "raw-reports")
+    in_order = lines.repartition("report").sortWithinPartitions("report", "place").select("report", "line")
+    in_order.write.partitionBy("report").text(path)
+    return reports.split_reports(spark, path).select(
+        F.col("extra")["Document"].cast("long").alias("doc_id"), "utterance", "expected", "matched", "result_type", "reject"
+    )
+
+
+def _corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as corpus files, some for each label, and next to them a damaged one; read again."""
+    path = fresh_folder(spark, "corpus-files")
+    files.write_csv(views.corpus(spark, sf_dir).select("label", "text"), path, ["label"])
+    broken = spark.range(1).coalesce(1).select(F.explode(F.array(F.lit("text"), F.lit('"never closed'))))
+    broken.write.text(f"{path}/label={DAMAGED_LABEL}")
+    return corpora.scan_folder(spark, path, "", label_folders=True)
+
+
 def _model_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = files.file_stem(F.col("path"))
     return (
@@ -174,6 +214,8 @@ QUERIES: dict[str, Query] = {
     # Sources.
     "corpus_scan": _corpus(lambda c: c.where(F.col("text").isNotNull())),
     "report_metadata": _report_metadata,
+    "report_rows": _report_rows,
+    "corpus_files": _corpus_files,
     "json_round_trip": _json_round_trip,
     "csv_round_trip": _csv_round_trip,
     "model_name": _model_name,
@@ -191,6 +233,7 @@ QUERIES: dict[str, Query] = {
     "entity_order": _ent(
         lambda e: _numbered(entity.metrics_in_report_order(entity.metrics(e)), "entity")
     ),
+    "entity_breakdown_order": _ent(_numbered_breakdown),
     "entity_identification": _ent(entity.identification),
     "entity_engine_summary": _ent(lambda e: entity.engine_summary(entity.identification(e))),
     "entity_methods": _ent(lambda e: entity.methods(entity.identification(e))),

@@ -136,19 +136,20 @@ def analyze_corpus(
     test: Paths,
     train: Paths,
     load_encoder: Callable[[], encoding.Encoder] | None = None,
-    multi_line: bool = True,
 ) -> Tables:
     """Lexical, distribution and semantic tables of two folders with one file per label.
 
-    Files without quoted line breaks are read in parallel parts with ``multi_line=False``.
+    Files that cannot be read are left out and listed in ``rejects`` with the reason.
     """
     folders = {"test": test, "train": train}
-    corpus = spread(corpora.read_corpus(spark, folders, multi_line=multi_line))
+    scanned = corpora.scan_corpus(spark, folders)
+    corpus = spread(corpora.texts(scanned))
     manifest = corpora.read_corpus_manifest(spark, folders)
     return {
         **lexical_tables(corpus, manifest),
         **distribution_tables(corpus, manifest),
         **semantic_tables(corpus, manifest, load_encoder),
+        "rejects": corpora.rejects(scanned),
         "files_without_text": corpora.missing_files(corpus, manifest),
     }
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Options of a CSV writer that keeps every cell as it is.
+EXACT = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def file_stem(path: Column) -> Column:
     """The file name without folder and last extension, with escaped characters restored."""
     name = F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
@@ -35,7 +39,7 @@ def read_csv(
 
 def write_csv(frame: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """CSV with a header, one folder per value of ``partition_by``."""
-    writer = frame.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer = frame.write.mode("overwrite").option("header", True).options(**EXACT)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.csv(path)

@@ -18,7 +18,7 @@ from __future__ import annotations
 import csv
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from typing import NamedTuple
 
@@ -192,10 +192,22 @@ def _placed(parts: DataFrame) -> DataFrame:
     )
 
 
-def _cells(lines: list[str]) -> list[list[str | None]]:
+class Record:
+    """Follows the lines of a file: whether a quoted cell is open behind the last one."""
+
+    def __init__(self):
+        self.inside, self.lines = False, 0
+
+    def add(self, line: str) -> None:
+        self.inside, self.lines = open_after(line, self.inside), self.lines + 1
+
+
+def records_of(lines: Iterable[str]) -> Iterator[list[str | None]]:
+    """The cells of the records that begin and end in these lines; blank lines are none, empty cells are null."""
     csv.field_size_limit(sys.maxsize)
-    rows = csv.reader(f"{line}\n" for line in lines)
-    return [[cell or None for cell in row] for row in rows if row]
+    for row in csv.reader(f"{line}\n" for line in lines):
+        if row:
+            yield [cell or None for cell in row]
 
 
 def _part_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +262,7 @@ class _Part:
             return self._batch([], [])
         end = begun if self.inside else len(texts)
         self.held = texts[end:]
-        return self._batch(_cells(texts[first:end]), fragments)
+        return self._batch(list(records_of(texts[first:end])), fragments)
 
     def ended(self) -> pa.RecordBatch:
         if self.seen != self.lines:
@@ -284,7 +296,7 @@ def _joined_fragments(pieces: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [_cells(record.split("\n"))[0] for record in batch.column("record").to_pylist()]
+            cells = [next(records_of(record.split("\n"))) for record in batch.column("record").to_pylist()]
             columns = [batch.column("path"), batch.column("header"), pa.array(cells, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, ["path", "header", "cells"])
 

@@ -3,8 +3,8 @@ import pytest
 from conftest import MEDIUM, rows
 from pyspark.sql import functions as F
 
-from utterscope.operators import projection, semantic
-from utterscope.operators.quantiles import grouped_median
+from utterscope.operators import nearest, projection, semantic, sums
+from utterscope.operators.quantiles import grouped_median, grouped_stats, ordered_key
 from utterscope.plans import views
 from utterscope.sources.intermediate import materialize
 
@@ -66,6 +66,27 @@ def test_centroids(by_split):
         assert got[key].n == len(vectors)
 
 
+@pytest.mark.parametrize("held", [1 << 20, 1])
+def test_position_sums(spark, monkeypatch, held):
+    monkeypatch.setattr(sums, "HELD_BYTES", held)
+    data = [(k, m, [float(i), 0.0, -1.5 * i]) for i in range(5) for k in (None, "a", "b") for m in (None, 1, 2)]
+    frame = spark.createDataFrame([*data, ("a", 1, None), ("a", 1, [])], "k string, m int, v array<double>").coalesce(2)
+    for by in ([], ["m"], ["k", "m"]):
+        got = {tuple(r[c] for c in [*by, "pos"]): (r.n, r.x, r.u) for r in sums.position_sums(frame, by, "v").collect()}
+        expected = {}
+        for k, m, v in data:
+            length = np.linalg.norm(v) or 1.0
+            for pos, x in enumerate(v):
+                key = (*[{"k": k, "m": m}[c] for c in by], pos)
+                n, a, b = expected.get(key, (0, 0.0, 0.0))
+                expected[key] = (n + 1, a + x, b + x / length)
+        assert got == {key: pytest.approx(v) for key, v in expected.items()}
+    plan = semantic.cohesion(frame.withColumnsRenamed({"k": "split", "m": "label", "v": "vec"}))._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Generate") == 1
+    with pytest.raises(Exception, match="one length"):
+        sums.position_sums(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "v array<double>").coalesce(1), [], "v").collect()
+
+
 def test_manifest_gives_null_centroid_and_cohesion(spark, emb):
     manifest = spark.createDataFrame(
         [("test", "a"), ("train", "a"), ("test", "d"), ("train", "d"), ("test", "none")],
@@ -101,16 +122,17 @@ def test_cohesion_and_its_spread(emb, by_label):
 @pytest.mark.parametrize("values", [[0.5], [0.1, 0.9], [0.3] * 7, [-1.0, 1.0, 1.0], [2.5, -3.0, 0.0, 0.1]])
 def test_grouped_median(spark, values):
     frame = spark.createDataFrame([("g", v) for v in values], "g string, v double")
-    for cells in (1, 4, 1 << 16):
-        got = grouped_median(frame, ["g"], "v", -1.0, 1.0, cells).first()["median"]
-        assert got == pytest.approx(np.median(values))
+    for ranked in (0, 1 << 16):
+        got = grouped_stats(frame, ["g"], "v", ranked).first()
+        assert got["median"] == np.median(values)
+        assert (got["mean"], got["std"]) == pytest.approx((np.mean(values), np.std(values)))
 
 
 def test_grouped_median_random(spark):
     draw = np.random.default_rng(3)
     data = [(g, float(np.round(v, 2))) for g in "ab" for v in draw.normal(scale=0.4, size=301)]
     frame = spark.createDataFrame(data, "g string, v double")
-    got = dict(rows(grouped_median(frame, ["g"], "v", -1.0, 1.0, 64)))
+    got = dict(rows(grouped_median(frame, ["g"], "v", 20)))
     for g in "ab":
         assert got[g] == pytest.approx(np.median([v for h, v in data if h == g]))
 
@@ -201,7 +223,7 @@ def test_consistency_fails_where_nothing_is_left(spark, data, reason):
 @pytest.mark.parametrize("limit", [64 << 20, 600, 1])
 def test_nearest_centroid(emb, by_label, limit):
     means = {k[0]: v.mean(axis=0) for k, v in group("label").items()}
-    got = {r.id: r for r in semantic.nearest_centroid(emb, by_label, limit).collect()}
+    got = {r.id: r for r in nearest.nearest_centroid(emb, by_label, limit).collect()}
     assert len(got) == len(KEPT)
     for r in KEPT:
         distances = {label: 1 - cosine(np.array(r[3]), c) for label, c in means.items()}
@@ -217,9 +239,9 @@ def test_nearest_centroid_edge_cases(spark, by_label, limit):
             (2, "test", "b", [1.0, 1.0]), (3, "test", "b", [float("nan"), 1.0]), (4, "test", "b", None)]
     emb = spark.createDataFrame(data, SCHEMA)
     cents = spark.createDataFrame([("y", [0.0, 2.0]), ("x", [3.0, 0.0]), ("z", None)], "label string, centroid array<double>")
-    got = rows(semantic.nearest_centroid(emb, cents, limit).select("id", "nearest"), "id")
+    got = rows(nearest.nearest_centroid(emb, cents, limit).select("id", "nearest"), "id")
     assert [tuple(r) for r in got] == [(1, "x")] * 3 + [(2, "x"), (3, None)]
-    empty = semantic.nearest_centroid(emb, cents.limit(0), limit).collect()
+    empty = nearest.nearest_centroid(emb, cents.limit(0), limit).collect()
     assert len(empty) == 5 and {(r.nearest, r.distance) for r in empty} == {(None, None)}
 
 
@@ -228,11 +250,30 @@ def test_nearest_of_very_many_centroids(spark):
     angle = F.col("id") * (6.0 / n)
     cents = spark.range(n).select(F.col("id").alias("label"), F.array(F.cos(angle), F.sin(angle)).alias("centroid"))
     emb = spark.range(0, n, 997).select("id", F.lit(0).alias("label"), F.array(F.cos(angle), F.sin(angle)).alias("vec"))
-    got = semantic.nearest_centroid(emb, cents, 4 << 20)
+    got = nearest.nearest_centroid(emb, cents, 4 << 20)
     # Next to each other, centroids differ by 2e-9 in distance.
     assert got.where("nearest <> id").count() == 0 and got.count() == 101
 
 
+@pytest.mark.parametrize("limit", [1 << 25, 20_000, 3000])
+def test_nearest_matches_all_products(spark, limit):
+    draw = np.random.default_rng(2)
+    cents = np.round(draw.normal(size=(150, 6)) * draw.choice([0.1, 1, 30], (150, 1)), 3)
+    cents[[7, 90]] = 0.0
+    cents[33], cents[120] = cents[12], 2 * cents[12]
+    vectors = np.vstack([draw.normal(size=(300, 6)), cents[:40], np.zeros((2, 6)), -cents[:3]])
+    table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(cents)], "label int, centroid array<double>")
+    emb = spark.createDataFrame([(i, "x", v.tolist()) for i, v in enumerate(vectors)], "id long, label string, vec array<double>")
+    got = {r.id: (r.nearest, r.distance) for r in nearest.nearest_centroid(emb, table, limit).collect()}
+    lengths = np.linalg.norm(cents, axis=1)
+    units = cents / np.where(lengths == 0, 1, lengths)[:, None]
+    for i, v in enumerate(vectors):
+        distances = 1 - units @ (v / (np.linalg.norm(v) or 1.0))
+        assert got[i] == (np.flatnonzero(distances <= distances.min() + 1e-12)[0], pytest.approx(distances.min(), abs=1e-12))
+    only_zero = table.where("label in (7, 90)")
+    assert {(r.nearest, r.distance) for r in nearest.nearest_centroid(emb, only_zero, 1).collect()} == {(7, 1.0)}
+
+
 def test_null_labels_and_nan_in_statistics(spark):
     data = [(i, "train", None if i < 3 else "a", [1.0, float(i)]) for i in range(6)]
     emb = spark.createDataFrame(data, SCHEMA)
@@ -241,14 +282,38 @@ def test_null_labels_and_nan_in_statistics(spark):
     means = {r.label: r.cohesion for r in semantic.cohesion(emb, BY_LABEL).collect()}
     assert {k: pytest.approx(v.mean) for k, v in stats.items()} == means and set(means) == {None, "a"}
     frame = spark.createDataFrame([("g", v) for v in (0.1, 0.5, float("nan"))], "g string, v double")
-    for cells in (1, 1 << 16):
-        assert grouped_median(frame, ["g"], "v", -1.0, 1.0, cells).first()["median"] == 0.5
+    for ranked in (0, 1 << 16):
+        assert grouped_median(frame, ["g"], "v", ranked).first()["median"] == 0.5
+
+
+def test_median_of_a_crowded_cell(spark):
+    # All values share their first 48 bits, and half of them are one value.
+    base = np.float64(0.7).view(np.int64)
+    values = [float(np.int64(base + (i * 7919) % 5000).view(np.float64)) for i in range(3001)] + [0.7] * 2999
+    frame = spark.createDataFrame([(k, v) for v in values for k in (None, "g")], "g string, v double")
+    got = grouped_stats(frame.repartition(3), ["g"], "v", ranked=100)
+    assert {r.g: r.median for r in got.collect()} == dict.fromkeys((None, "g"), float(np.median(values)))
+
+
+def test_keys_are_ordered_as_the_values(spark):
+    draw = np.random.default_rng(8)
+    some = draw.integers(-(2**63), 2**63, 4000).view(np.float64)
+    powers = [s * 2.0**e * f for e in range(-1074, 1024, 7) for f in (1.0, 1 + 2**-52, 1.5, 2 - 2**-52) for s in (1, -1)]
+    values = [*some[~np.isnan(some)].tolist(), *powers, 0.0, -0.0, 5e-324, -5e-324, 1.7976931348623157e308, np.inf, -np.inf]
+    values += np.nextafter(2.0 ** np.arange(-1022.0, 1024), 0).tolist()
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double")
+    keys = dict(frame.select("v", ordered_key(F.col("v"))).collect())
+    distinct = sorted(set(values))
+    assert all(keys[a] < keys[b] for a, b in zip(distinct, distinct[1:]))
+    assert spark.range(1).select(ordered_key(F.lit(float("nan")))).first()[0] > keys[np.inf]
 
 
 def test_label_sample(emb):
     first = rows(semantic.label_sample(emb, 3).drop("vec"), "id")
     again = rows(semantic.label_sample(emb.repartition(5), 3).drop("vec"), "id")
     other = rows(semantic.label_sample(emb, 3, seed=1).drop("vec"), "id")
+    plan = semantic.label_sample(emb, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "vec" in plan and "Sort" not in plan and "Exchange hash" not in plan
     assert first == again != other
     sizes = {}
     for _, split, label, _ in first:

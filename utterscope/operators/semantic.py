@@ -1,41 +1,32 @@
 """Geometry of labelled embeddings: centroids, cohesion, similarity between labels and splits.
 
-Input: ``id, split, label, vec`` with vectors of one length. Sums over rows run as plain hash
-aggregations keyed by (group, position), which combine before the shuffle: a label that holds most
-of the rows costs no more there than any other. Operators on pairs work on centroids, one row per
-label, never on pairs of rows.
+Input: ``id, split, label, vec`` with vectors of one length. Sums over rows are taken up by each task as
+a matrix and merged per group and position: a label that holds most of the rows costs no more there
+than any other. Operators on pairs work on centroids, one row per label, never on pairs of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from utterscope.functions.vectors import cosine_from_sums, dot, euclidean, norm, unit
-from utterscope.operators.quantiles import grouped_median, join_groups
-from utterscope.sources.intermediate import BROADCAST_LIMIT_BYTES, materialize, vector_table_bytes
+from utterscope.operators.quantiles import grouped_stats, join_groups
+from utterscope.operators.sums import position_sums
+from utterscope.sources.intermediate import (
+    BROADCAST_LIMIT_BYTES,
+    broadcast_if_small,
+    materialize,
+    vector_table_bytes,
+)
 
 BY_SPLIT = ("split", "label")
 METRICS = ("cosine", "euclidean")
 PAIR_BLOCK = 256
 SALTS = 64
-#: Bytes of centroids that travel to the tasks at a time, and centroids in one matrix product.
-CENTROID_BYTES = 32 * 1024 * 1024
-CENTROID_TILE = 512
-#: Distances that differ by less count as ties.
-TIE = 1e-12
-
-
-def _positions(emb: DataFrame, by: Sequence[str], *extra: str) -> DataFrame:
-    # Expressions next to a generator run once per generated row: pass ready columns only.
-    return emb.where(F.col("vec").isNotNull()).select(
-        *by, *extra, F.posexplode("vec").alias("pos", "x")
-    ).withColumn("x", F.col("x").cast("double"))
+WINNER_BYTES = 256
 
 
 def _joined_labels(frame: DataFrame, keys: Sequence[str], manifest: DataFrame | None) -> DataFrame:
@@ -51,9 +42,7 @@ def centroids(
 
     ``manifest`` adds a row with null centroid for groups without any text.
     """
-    means = _positions(emb, by).groupBy(*by, "pos").agg(
-        F.avg("x").alias("x"), F.count("x").alias("n")
-    )
+    means = position_sums(emb, by).withColumn("x", F.col("x") / F.col("n"))
     # As many entries per group as the vector is long.
     entries = F.sort_array(F.collect_list(F.struct("pos", "x")))
     found = means.groupBy(*by).agg(
@@ -72,13 +61,8 @@ def cohesion(
     The mean of ``cos(x, c)`` equals the inner product of ``c / |c|`` with the mean of ``x / |x|``,
     so a single pass and no join with the centroids is enough.
     """
-    scaled = F.coalesce(F.try_divide(F.col("x"), F.col("length")), F.lit(0.0))
-    means = (
-        _positions(emb.withColumn("length", norm(F.col("vec"))), by, "length")
-        .groupBy(*by, "pos")
-        .agg(F.avg("x").alias("c"), F.avg(scaled).alias("u"), F.count("x").alias("n"))
-    )
-    c, u = F.col("c"), F.col("u")
+    means = position_sums(emb, by)
+    c, u = F.col("x") / F.col("n"), F.col("u") / F.col("n")
     found = means.groupBy(*by).agg(
         F.coalesce(F.try_divide(F.sum(c * u), F.sqrt(F.sum(c * c))), F.lit(0.0)).alias("cohesion"),
         F.max("n").alias("n"),
@@ -133,15 +117,11 @@ def cohesion_stats(
 ) -> DataFrame:
     """``*by, mean, median, std`` of the similarities to the own centroid.
 
-    ``cents`` must be a materialized table. The median is exact and found by rank selection, so no
+    ``cents`` must be a materialized table. The median is exact and found by radix selection, so no
     task ever holds the values of a group.
     """
     similarity = materialize(row_similarity(emb, cents, by, limit).drop("id"), "similarity")
-    medians = grouped_median(similarity, by, "similarity", low=-1.0, high=1.0)
-    moments = similarity.groupBy(*by).agg(
-        F.avg("similarity").alias("mean"), F.stddev_pop("similarity").alias("std")
-    )
-    return join_groups(moments, medians, by).select(*by, "mean", "median", "std")
+    return grouped_stats(similarity, by, "similarity")
 
 
 def scaled_similarity(similarity: DataFrame) -> DataFrame:
@@ -276,9 +256,9 @@ def cross_split_similarity(
 
 
 def _split_products(emb: DataFrame, first: str, second: str) -> DataFrame:
-    sides = _positions(emb, ("label",), "split").groupBy("label", "pos").agg(
-        F.avg(F.when(F.col("split") == first, F.col("x"))).alias("a"),
-        F.avg(F.when(F.col("split") == second, F.col("x"))).alias("b"),
+    mean = F.col("x") / F.col("n")
+    sides = position_sums(emb.where(F.col("split").isin(first, second)), ("label", "split")).groupBy("label", "pos").agg(
+        F.max(F.when(F.col("split") == first, mean)).alias("a"), F.max(F.when(F.col("split") == second, mean)).alias("b")
     )
     a, b = F.col("a"), F.col("b")
     return sides.groupBy("label").agg(
@@ -324,100 +304,14 @@ def most_consistent_first(frame: DataFrame) -> DataFrame:
 def label_sample(
     emb: DataFrame, size: int = 100, by: Sequence[str] = BY_SPLIT, seed: int = 0
 ) -> DataFrame:
-    """At most ``size`` rows per group, the same rows on every run with the same seed.
+    """At most ``size`` rows per group and their ``rank``, the same rows on every run with the same seed.
 
-    Rows are ranked by a hash of their id, first within salted parts of a group and then among the
-    winners, so no task ever ranks a whole large group.
+    Rows are ranked by a hash of their id; ids are distinct within a group. Only group, id and hash are
+    sorted and exchanged, and each task passes on no more than ``size`` of a group; the winners then
+    pick up their other columns.
     """
     draw = F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string")))
-    order = ["draw", "id"]
-    parts = Window.partitionBy(*by, "part").orderBy(*order)
-    groups = Window.partitionBy(*by).orderBy(*order)
-    ranked = emb.withColumn("draw", draw).withColumn(
-        "part", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    )
-    return (
-        ranked.withColumn("rank", F.row_number().over(parts))
-        .where(F.col("rank") <= size)
-        .withColumn("rank", F.row_number().over(groups))
-        .where(F.col("rank") <= size)
-        .drop("draw", "part")
-    )
-
-
-def nearest_centroid(emb: DataFrame, cents: DataFrame, limit: int = CENTROID_BYTES) -> DataFrame:
-    """``id, label, nearest, distance``: the label whose centroid has the least cosine distance.
-
-    ``cents`` must be a materialized table with one row per label. Centroids go to the tasks in the
-    order of their labels, at most ``limit`` bytes at a time; each row carries the best one so far and
-    is written to the shared folder before the next lot. So rows are never shuffled, and the memory of
-    a task does not grow with the number of labels. Ties within :data:`TIE` go to the smaller label.
-    Repeated ids give repeated rows. Without any centroid, or for a vector with null or NaN in it,
-    ``nearest`` and ``distance`` are null; rows without a vector are left out.
-    """
-    known = cents.where(F.col("centroid").isNotNull()).select(
-        F.col("label").alias("nearest"), unit(F.col("centroid")).alias("centroid")
-    )
-    rows = emb.where(F.col("vec").isNotNull()).select(
-        "id",
-        "label",
-        "vec",
-        F.lit(None).cast(known.schema["nearest"].dataType).alias("nearest"),
-        F.lit(None).cast("double").alias("distance"),
-    )
-    shared = None
-    for lot in _lots(known.orderBy("nearest"), limit):
-        if shared is not None:
-            rows = materialize(rows, "nearest")
-            shared.unpersist()
-        shared = rows.sparkSession.sparkContext.broadcast(lot)
-        rows = rows.mapInArrow(_closer(shared), rows.schema)
-    return rows.drop("vec")
-
-
-def _lots(known: DataFrame, limit: int) -> Iterator[tuple[list, np.ndarray]]:
-    """Labels and vectors of the centroids, about ``limit`` bytes at a time."""
-    labels: list = []
-    vectors: list[np.ndarray] = []
-    for row in known.toLocalIterator():
-        labels.append(row["nearest"])
-        vectors.append(np.array(row["centroid"], np.float64))
-        if len(labels) * (vectors[0].nbytes + 64) >= limit:
-            yield labels, np.array(vectors)
-            labels, vectors = [], []
-    if labels:
-        yield labels, np.array(vectors)
-
-
-def _closer(shared):
-    """Replace the best centroid of each row where one of the lot is closer."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, matrix = shared.value
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            values = batch.column("vec").flatten().to_numpy(zero_copy_only=False)
-            vectors = values.astype(np.float64).reshape(batch.num_rows, matrix.shape[1])
-            lengths = np.linalg.norm(vectors, axis=1)
-            vectors /= np.where(lengths == 0, 1.0, lengths)[:, None]
-            best = np.array(pc.fill_null(batch.column("distance"), np.inf))
-            chosen = np.full(batch.num_rows, -1)
-            for at in range(0, len(matrix), CENTROID_TILE):
-                distances = 1.0 - vectors @ matrix[at : at + CENTROID_TILE].T
-                least = distances.min(axis=1)
-                first = (distances <= least[:, None] + TIE).argmax(axis=1)
-                closer = least < best - TIE
-                best[closer], chosen[closer] = least[closer], at + first[closer]
-            known = batch.column("nearest")
-            taken = pa.array(labels, known.type).take(pa.array(chosen, mask=chosen < 0))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in ("id", "label", "vec")),
-                    pc.coalesce(taken, known),
-                    pa.array(best, mask=np.isinf(best)),
-                ],
-                names=["id", "label", "vec", "nearest", "distance"],
-            )
-
-    return task
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("draw", "id"))
+    drawn = emb.select(*by, "id", draw.alias("draw")).withColumn("rank", place)
+    winners = materialize(drawn.where(F.col("rank") <= size).drop("draw"), "winners")
+    return join_groups(emb, broadcast_if_small(winners, WINNER_BYTES), [*by, "id"])

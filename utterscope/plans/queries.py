@@ -19,6 +19,7 @@ from utterscope.operators import (
     entity,
     intent,
     lexical,
+    nearest,
     projection,
     scoring,
     semantic,
@@ -264,7 +265,7 @@ QUERIES: dict[str, Query] = {
     "distinctiveness_rounded": _by_label(
         lambda e, c: semantic.rounded_matrix(semantic.similarity_matrix(c, "cosine"))
     ),
-    "nearest_centroid": _by_label(semantic.nearest_centroid),
+    "nearest_centroid": _by_label(nearest.nearest_centroid),
     "label_sample": _emb(
         lambda e: semantic.label_sample(e, SAMPLE_SIZE, seed=SAMPLE_SEED).drop("vec")
     ),

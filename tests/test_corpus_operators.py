@@ -1,11 +1,13 @@
+import hashlib
 import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import MEDIUM, rows
 
-from utterscope.operators import distribution, lexical
+from utterscope.operators import distribution, encoding, lexical
 from utterscope.plans import views
 
 SCHEMA = "split string, label string, text string"
@@ -154,3 +156,26 @@ def test_document_table(spark):
     assert found["de"]["emd_word_length"] == pytest.approx(0.040014, abs=1e-6)
     tokens = lexical.vocabulary(corpus).groupBy("label").sum("token_count")
     assert dict(rows(tokens)) == {"de": 50148, "en": 237020, "es": 40028, "fr": 58155}
+
+
+def test_signed_hashing(spark):
+    texts = [(1, "a b a"), (2, "b c"), (3, ""), (4, None), (5, "!!")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    vectors = {r.doc_id: np.array(r.vec) for r in encoding.hashed_tfidf(frame, 7).collect()}
+    assert set(vectors) == {1, 2, 3, 5}
+
+    def place(term):
+        digest = hashlib.md5(term.encode()).hexdigest()
+        return int(digest[:8], 16) % 7, 1 - 2 * (int(digest[8], 16) % 2)
+
+    held = {}
+    for _, text in texts:
+        for pos in {place(t)[0] for t in (text or "").replace("!", "").split()}:
+            held[pos] = held.get(pos, 0) + 1
+    for i, text in texts[:3]:
+        expected = np.zeros(7)
+        for term in text.split():
+            pos, sign = place(term)
+            expected[pos] += sign * math.log(5 / (held[pos] + 1))
+        assert vectors[i] == pytest.approx(expected, rel=1e-6)
+    assert encoding.hashed_tfidf(frame.limit(0)).collect() == []

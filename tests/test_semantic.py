@@ -326,7 +326,11 @@ def test_projection_keeps_variance_and_centroids(spark):
     cents = materialize(semantic.centroids(emb, BY_LABEL), "test")
     plane = projection.fit(emb)
     shortcut = projection.fit(emb, cents=cents)
-    assert shortcut.offsets == pytest.approx(plane.offsets) and shortcut.loadings == plane.loadings
+    assert shortcut.offsets == pytest.approx(plane.offsets)
+    assert np.array(shortcut.loadings) == pytest.approx(np.array(plane.loadings))
+    followed = projection.fit(emb, block=24)
+    assert np.array(followed.loadings) == pytest.approx(np.array(plane.loadings), abs=1e-9)
+    assert followed.explained == pytest.approx(plane.explained)
     matrix = np.array([r.vec for r in emb.select("vec").collect()], dtype=np.float64)
     values = np.linalg.eigvalsh(np.cov(matrix.T))[::-1]
     assert plane.explained == pytest.approx((values[:2] / values.sum()).tolist())
@@ -356,3 +360,31 @@ def test_centroid_shift(spark, emb, by_split):
         assert r.shift <= full + 1e-9
     with pytest.raises(ValueError):
         projection.centroid_shift(emb, by_split.where("split = 'train'"))
+    points = projection.shift_points(emb, by_split)
+    for r in points.groupBy("split", "label").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).collect():
+        end = ("x1", "y1") if r.split == "train" else ("x2", "y2")
+        assert (r.x, r.y) == pytest.approx([shifts[r.label][c] for c in end], abs=1e-9)
+    assert points.where("label in ('d', 'e')").count() == 0
+
+
+def test_plane_of_long_vectors(spark):
+    # More dimensions than directions, and than rows.
+    draw = np.random.default_rng(4)
+    rows_ = draw.normal(size=(120, 300)) + np.outer(draw.normal(size=120) * 6, draw.normal(size=300))
+    rows_ += np.outer(draw.normal(size=120) * 3, draw.normal(size=300)) + 5
+    frame = spark.createDataFrame([(v.tolist(),) for v in rows_], "vec array<double>").repartition(3)
+    plane = projection.fit(frame, block=8)
+    _, values, axes = np.linalg.svd(rows_ - rows_.mean(axis=0), full_matrices=False)
+    for found, axis in zip(plane.loadings, axes):
+        assert abs(np.dot(found, axis)) == pytest.approx(1.0, abs=1e-10)
+    assert plane.explained == pytest.approx((values[:2] ** 2 / (values**2).sum()).tolist())
+    with pytest.raises(ValueError):
+        projection.fit(spark.createDataFrame([([1.0],)], "vec array<double>"))
+
+
+def test_centroid_plane(spark, by_label):
+    got = projection.centroid_plane(by_label).collect()
+    means = {k[0]: v.mean(axis=0) for k, v in group("label").items()}
+    centred = np.array([means[r.label] for r in got]) - np.mean(list(means.values()), axis=0)
+    values = np.linalg.svd(centred, compute_uv=False)
+    assert sorted(np.linalg.svd(np.array([[r.x, r.y] for r in got]), compute_uv=False)) == pytest.approx(sorted(values[:2]))

@@ -7,16 +7,19 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.feature import IDF, HashingTF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utterscope.functions.text import tokens
+from utterscope.sources.intermediate import materialize
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
+#: Length of the hashed vectors.
+DIMENSIONS = 256
+
 #: The encoder that this Python worker has loaded last, by the digest of its loader.
 _LOADED: dict[str, Encoder] = {}
 
@@ -52,19 +55,66 @@ def encode(corpus: DataFrame, load_encoder: Callable[[], Encoder]) -> DataFrame:
     )
 
 
-def hashed_tfidf(corpus: DataFrame, dimensions: int = 256) -> DataFrame:
-    """Replace ``text`` by a hashed TF-IDF vector.
+def hashed_tfidf(corpus: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """Replace ``text`` by ``vec ARRAY<FLOAT>``, a signed hashed TF-IDF vector.
 
     The default when no sentence model is at hand; its similarities are not comparable with those of
-    a model. Term counts are row-local, only the document frequencies (``dimensions`` numbers) are
-    aggregated.
+    a model. The MD5 digest of a term gives its position (the first eight hexadecimal digits modulo
+    ``dimensions``) and its sign (an odd ninth digit counts down), so that terms that meet at a position
+    do not all add up. A value is the signed count times ``ln((texts + 1) / (held + 1))``, where
+    ``held`` counts the texts with any term at the position. Each text is taken apart once: its counts are
+    written to the shared folder and only ``dimensions`` numbers of the corpus reach the driver.
     """
-    counted = HashingTF(
-        numFeatures=dimensions, inputCol="terms", outputCol="counts"
-    ).transform(
-        corpus.where(F.col("text").isNotNull()).withColumn("terms", tokens(F.col("text")))
-    )
-    weighted = IDF(inputCol="counts", outputCol="weighted").fit(counted).transform(counted)
-    return weighted.withColumn("vec", vector_to_array("weighted", "float32")).drop(
-        "text", "terms", "counts", "weighted"
+    rest = [c for c in corpus.columns if c != "text"]
+    kinds = {c: corpus.schema[c].dataType.simpleString() for c in rest}
+    listed = ", ".join(f"`{c}` {kind}" for c, kind in kinds.items())
+    separate = f"{listed}{', ' if rest else ''}"
+    terms = corpus.where(F.col("text").isNotNull()).select(*rest, tokens(F.col("text")).alias("terms"))
+    counted = materialize(
+        terms.mapInArrow(_counts(dimensions), f"{separate}positions array<int>, counts array<int>"), "term-counts"
     )
+    held = counted.select(F.explode("positions").alias("position")).groupBy("position").agg(F.count(F.lit(1)).alias("held"))
+    weights = np.log(np.full(dimensions, counted.count() + 1.0))
+    for row in held.collect():  # at most one row per dimension
+        weights[row["position"]] -= np.log(row["held"] + 1.0)
+    return counted.mapInArrow(_weighted(weights), f"{separate}vec array<float>")
+
+
+def _counts(dimensions: int):
+    """The positions that a text has terms at, ascending, and the signed counts there."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column("terms")
+            coded = terms.flatten().dictionary_encode()
+            digests = [hashlib.md5(t.encode()).hexdigest() for t in coded.dictionary.to_pylist()]
+            code = coded.indices.to_numpy()
+            position = np.array([int(x[:8], 16) % dimensions for x in digests], np.int64)[code]
+            sign = np.array([1 - 2 * (int(x[8], 16) % 2) for x in digests], np.int64)[code]
+            row = np.repeat(np.arange(batch.num_rows), terms.value_lengths().to_numpy())
+            places, of = np.unique(row * dimensions + position, return_inverse=True)
+            sums = np.zeros(len(places), np.int64)
+            np.add.at(sums, of, sign)
+            ends = pa.array(np.searchsorted(places, np.arange(batch.num_rows + 1) * dimensions), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (places % dimensions, sums)]
+            names = [name for name in batch.schema.names if name != "terms"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *lists], [*names, "positions", "counts"])
+
+    return task
+
+
+def _weighted(weights: np.ndarray):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            values = np.zeros((n, len(weights)))
+            positions, counts = batch.column("positions"), batch.column("counts")
+            at = positions.flatten().to_numpy()
+            row = np.repeat(np.arange(n), positions.value_lengths().to_numpy())
+            values[row, at] = counts.flatten().to_numpy() * weights[at]
+            ends = pa.array(np.arange(n + 1) * len(weights), pa.int32())
+            vec = pa.ListArray.from_arrays(ends, pa.array(values.ravel(), pa.float32()))
+            names = [name for name in batch.schema.names if name not in ("positions", "counts")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), vec], [*names, "vec"])
+
+    return task

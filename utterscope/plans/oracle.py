@@ -6,7 +6,6 @@ operators compute them.
 
 from __future__ import annotations
 
-from utterscope.functions.text import DROPPED_PATTERN, SPLIT_PATTERN, WHITESPACE_CLASS
 from utterscope.plans import queries as q
 from utterscope.plans.views import BATCH_SQL, CORPUS_SQL, EMB_SQL, ENT_SQL, REPORT_PATHS_SQL
 
@@ -94,9 +93,10 @@ _ENTITY_VIEWS = {
       from methods where method is not null group by report, entity, engine, method""",
 }
 
-# Text.
-_CLEAN = f"regexp_replace(lower(text), '{DROPPED_PATTERN}', '', 'g')"
-_TOKENS = f"[t for t in regexp_split_to_array({_CLEAN}, '{SPLIT_PATTERN}') if t <> '']"
+# Text. White space is what a string method of Python takes for it: separators of any kind and these controls.
+_SPACE = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
+_CLEAN = rf"regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_{_SPACE}]', '', 'g')"
+_TOKENS = f"[t for t in regexp_split_to_array({_CLEAN}, '[{_SPACE}]+') if t <> '']"
 _TEXT_VIEWS = {
     "corpus": CORPUS_SQL,
     "texts": f"select split, label, {_TOKENS} as tokens from corpus where text is not null",
@@ -195,6 +195,71 @@ def _matrix(measure: str, digits: int = q.DIGITS) -> str:
     )
 
 
+# Planes: a symmetric matrix that is squared again and again turns into the projector on its first axis.
+SQUARINGS = 22
+
+
+def _axis(name: str, matrix: str) -> dict[str, str]:
+    """Views ``{name}(pos, v)``, a unit vector whose largest element is positive, and ``{name}_share(value)``."""
+    views = {f"{name}_0": f"select i, j, v / (select sum(v) from {matrix} where i = j) as v from {matrix}"}
+    for k in range(SQUARINGS):
+        views[f"{name}_p{k}"] = f"select a.i, b.j, sum(a.v * b.v) as v from {name}_{k} a join {name}_{k} b on a.j = b.i group by a.i, b.j"
+        views[f"{name}_{k + 1}"] = f"select i, j, v / (select sum(v) from {name}_p{k} where i = j) as v from {name}_p{k}"
+    last = f"{name}_{SQUARINGS}"
+    column = f"(select arg_max(i, v) from {last} where i = j)"
+    views[f"{name}_raw"] = f"select i as pos, v / sqrt(sum(v * v) over ()) as v from {last} where j = {column}"
+    views[name] = f"select pos, v * sign((select arg_max(v, abs(v)) from {name}_raw)) as v from {name}_raw"
+    views[f"{name}_share"] = f"""select sum(a.v * m.v * b.v) as value
+      from {matrix} m join {name} a on a.pos = m.i join {name} b on b.pos = m.j"""
+    return views
+
+
+def _plane(points: str) -> dict[str, str]:
+    """Views ``ax`` and ``ay`` (pos, v) for points given as (id, pos, x), and ``mean`` (pos, m)."""
+    return {
+        "points": points,
+        "mean": "select pos, avg(x) as m from points group by pos",
+        "centred": "select id, pos, x - m as x from points join mean using (pos)",
+        "cov": """select a.pos as i, b.pos as j, sum(a.x * b.x) as v
+          from centred a join centred b on a.id = b.id group by a.pos, b.pos""",
+        **_axis("ax", "cov"),
+        "rest": """select i, j, c.v - (select value from ax_share) * a.v * b.v as v
+          from cov c join ax a on a.pos = c.i join ax b on b.pos = c.j""",
+        **_axis("ay", "rest"),
+    }
+
+
+def _placed(keys: str, entries: str) -> str:
+    """The points of a relation (keys, pos, x) in the plane."""
+    return f"""select {keys}, sum((x - m) * ax.v) as x, sum((x - m) * ay.v) as y
+      from ({entries}) as e join mean using (pos) join ax using (pos) join ay using (pos) group by {keys}"""
+
+
+def _stored(views: dict[str, str], body: str) -> str:
+    return "with " + ",\n".join(f"{name} as materialized ({sql})" for name, sql in views.items()) + "\n" + body
+
+
+_ROW_ENTRIES = "select id, label, split, pos, cast(x as double) as x from entries"
+_CENTROID_ENTRIES = "select {keys}, unnest(c) as x, generate_subscripts(c, 1) as pos from {cents}"
+_LABEL_PLANE = {
+    **_LABEL_CENTROIDS,
+    **_plane("select id, pos, cast(x as double) as x from entries"),
+    "row_points": _placed("id, label", _ROW_ENTRIES),
+    "label_points": _placed("label", _CENTROID_ENTRIES.format(keys="label", cents="cents")),
+    "projected": """select r.id, r.label, r.x, r.y, l.x as centroid_x, l.y as centroid_y,
+      sqrt((r.x - l.x) ** 2 + (r.y - l.y) ** 2) as distance from row_points r join label_points l using (label)""",
+}
+_SHIFT_PLANE = {
+    **_SPLIT_CENTROIDS,
+    "shared": "select split, label, c from cents where label in (select label from cents group by label having count(*) = 2)",
+    **_plane(f"""
+      select cast(id as varchar) as id, pos, cast(x as double) as x from entries where label in (select label from shared)
+      union all
+      select concat(split, ':', label), pos, x from ({_CENTROID_ENTRIES.format(keys="split, label", cents="shared")}) as c"""),
+    "ends": _placed("split, label", _CENTROID_ENTRIES.format(keys="split, label", cents="shared")),
+}
+
+
 # Scoring.
 _LINE_Z = " + ".join(
     f"{weight}::double * {name}" for name, weight in q.LINE_WEIGHTS.items()
@@ -222,7 +287,7 @@ _VECTOR_WEIGHTS = "[" + ", ".join(f"{w}::double" for w in q.VECTOR_WEIGHTS) + "]
 
 
 def _stripped(expression: str) -> str:
-    space = f"[{WHITESPACE_CLASS}]+"
+    space = f"[{_SPACE}]+"
     bare = f"regexp_replace({expression}, '^{space}|{space}$', '', 'g')"
     return f"""regexp_replace({bare}, '^"+|"+$', '', 'g')"""
 
@@ -376,6 +441,20 @@ ORACLE: dict[str, str] = {
         """select label from corpus where split = 'test' intersect
         select label from corpus where split = 'train'""",
     ),
+    "text_embed_hash": _with(
+        {
+            **_TEXT_VIEWS,
+            "docs": f"select doc_id, split, label, {_TOKENS} as tokens from corpus where text is not null",
+            "digests": "select doc_id, split, label, md5(token) as m from (select *, unnest(tokens) as token from docs) as t",
+            "counted": f"""
+              select doc_id, split, label, cast(cast('0x' || m[1:8] as bigint) % {q.encoding.DIMENSIONS} as integer) as pos,
+                sum(1 - 2 * ((instr('0123456789abcdef', m[9]) - 1) % 2)) as c
+              from digests group by all""",
+            "held": "select pos, ln((select count(*) from docs) + 1.0::double) - ln(count(*) + 1.0::double) as w from counted group by pos",
+        },
+        f"""select doc_id, split, label, pos, {_r("cast(cast(c * w as float) as double)")} as value
+        from counted join held using (pos) where cast(c * w as float) <> 0""",
+    ),
     "length_histogram": _with(_LENGTH_VIEWS, "select label, kind, x, n_test, n_train from hist"),
     "length_stats": _with(
         _LENGTH_VIEWS,
@@ -464,6 +543,41 @@ ORACLE: dict[str, str] = {
             min({{'d': 1 - {_cosine(_VEC, "c.c")}, 'nearest': c.label}}) as best
           from emb e, cents c group by e.id, e.label) as ranked""",
     ),
+    "pca_projection": _stored(
+        _LABEL_PLANE,
+        "select id, label, " + ", ".join(
+            f"{_r(c)} as {c}" for c in ("x", "y", "centroid_x", "centroid_y", "distance")) + " from projected",
+    ),
+    "pca_ranges": _stored(
+        _LABEL_PLANE,
+        f"""select label, {_r("min(x)")} as x_min, {_r("max(x)")} as x_max, {_r("min(y)")} as y_min,
+          {_r("max(y)")} as y_max from projected group by label""",
+    ),
+    "pca_explained_variance": _stored(
+        _LABEL_PLANE,
+        f"""select component::integer as component,
+          {_r("value / (select sum(v) from cov where i = j)")} as explained_variance_ratio
+        from (select 1 as component, value from ax_share union all select 2, value from ay_share) as shares""",
+    ),
+    "centroid_shift": _stored(
+        _SHIFT_PLANE,
+        f"""select a.label, {_r("a.x")} as x1, {_r("a.y")} as y1, {_r("b.x")} as x2, {_r("b.y")} as y2,
+          {_r("sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2)")} as shift
+        from ends a join ends b on a.label = b.label where a.split = 'train' and b.split = 'test'""",
+    ),
+    "centroid_shift_points": _stored(
+        _SHIFT_PLANE,
+        f"""select id, split, label, {_r("x")} as x, {_r("y")} as y from (
+          {_placed("id, split, label", _ROW_ENTRIES + " where label in (select label from shared)")}) as placed""",
+    ),
+    "centroid_plane": _stored(
+        {
+            **_LABEL_CENTROIDS,
+            **_plane(f"select label as id, pos, x from ({_CENTROID_ENTRIES.format(keys='label', cents='cents')}) as c"),
+        },
+        f"""select label, {_r("x")} as x, {_r("y")} as y from (
+          {_placed("label", _CENTROID_ENTRIES.format(keys="label", cents="cents"))}) as placed""",
+    ),
     "label_sample": _with(
         {"emb": EMB_SQL},
         f"""

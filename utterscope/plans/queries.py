@@ -102,6 +102,13 @@ def _centroid_entries(emb: DataFrame) -> DataFrame:
     )
 
 
+def _embedded(corpus: DataFrame) -> DataFrame:
+    """The elements of the hashed vectors that are not 0."""
+    vectors = encoding.hashed_tfidf(corpus)
+    elements = vectors.select("doc_id", "split", "label", F.posexplode("vec").alias("pos", "value"))
+    return elements.where("value <> 0").withColumn("value", F.col("value").cast("double"))
+
+
 def _scaled(emb: DataFrame, cents: DataFrame) -> DataFrame:
     similarity = semantic.row_similarity(emb, cents, BY_LABEL)
     return semantic.scaled_similarity(materialize(similarity, "similarity"))
@@ -251,7 +258,7 @@ QUERIES: dict[str, Query] = {
     "length_emd": _lengths(distribution.earth_movers_distance),
     "length_js": _lengths(distribution.js_divergence),
     # Embeddings.
-    "text_embed_hash": _corpus(encoding.hashed_tfidf),
+    "text_embed_hash": _corpus(_embedded),
     "centroids": _emb(_centroid_entries),
     "cohesion": _emb(semantic.cohesion),
     "cohesion_stats": _by_label(lambda e, c: semantic.cohesion_stats(e, c, BY_LABEL)),
@@ -273,6 +280,8 @@ QUERIES: dict[str, Query] = {
     "pca_ranges": _by_label(lambda e, c: projection.ranges(_projected(e, c))),
     "pca_explained_variance": _emb(lambda e: projection.explained_variance(e, projection.fit(e))),
     "centroid_shift": _by_split(projection.centroid_shift),
+    "centroid_shift_points": _by_split(projection.shift_points),
+    "centroid_plane": _by_label(lambda e, c: projection.centroid_plane(c)),
     # Scoring.
     **{f"perceptron_{name}": partial(_perceptron, name) for name in SCORED_ACTIVATIONS},
     "activation_summary": _emb(_activation_summary),

@@ -6,9 +6,9 @@
    range, a line that a third of all documents share is spread over many partitions.
 3. First occurrences are counted per key, combined before the shuffle; keys of enough documents get
    the largest document as their owner.
-4. Lines of an owned key outside its owner are marked in bitmaps of 64 lines a word. Words without a
-   dropped line are filled in only once, when the words of a document come together.
-5. The bitmaps, not texts, go back to the documents, which filter their own lines.
+4. Lines of an owned key outside its owner are marked in bitmaps of 64 lines a word, compressed by leaving
+   out the words without a dropped line.
+5. The bitmaps, not texts, go back to the documents, which expand them and filter their own lines.
 """
 
 from __future__ import annotations
@@ -40,9 +40,10 @@ def keep_bitmaps(
     min_documents: int = MIN_DOCUMENTS,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """One row per document that loses lines: doc_id, text_hash, keep (array of 64-bit words), n_dropped.
+    """One row per document that loses lines: doc_id, text_hash, keep (map of 64-bit words), n_dropped.
 
-    Bit i of word j tells whether line 64 * j + i stays; lines beyond the last word stay. Documents
+    Bit i of word j tells whether line 64 * j + i stays. The bitmap is compressed: words whose lines all stay
+    are left out, so it grows with the lines that go and not with the length of the text. Documents
     are told apart by their id: rows that share an id, all null ids included, count as one document,
     and a null id is smaller than any other. An empty table gives no rows.
     """
@@ -82,15 +83,16 @@ def keep_bitmaps(
         .agg(F.expr("bit_or(shiftleft(1L, position % 64))").alias("drop"))
     )
     by_document = words.groupBy("doc_id", "text_hash").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not("drop").alias("keep")))).alias("keeps"),
-        F.max("word").alias("last"),
+        F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not("drop").alias("keep")))).alias("keep"),
         F.sum(F.bit_count("drop")).cast("long").alias("n_dropped"),
     )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.col("last")),
-        lambda word: F.coalesce(F.element_at("keeps", word), F.lit(-1).cast("long")),
-    )
-    return save(by_document.select("doc_id", "text_hash", dense.alias("keep"), "n_dropped"), "line-bitmaps")
+    return save(by_document, "line-bitmaps")
+
+
+def _expanded(keep: Column) -> Column:
+    """All words of a compressed bitmap up to the last one in it."""
+    words = F.sequence(F.lit(0), F.array_max(F.map_keys(keep)))
+    return F.transform(words, lambda word: F.coalesce(F.element_at(keep, word), F.lit(-1).cast("long")))
 
 
 def dedup_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
@@ -104,7 +106,9 @@ def dedup_lines(documents: DataFrame, id_column: str = "doc_id", text_column: st
     """
     bitmaps = keep_bitmaps(documents, id_column, text_column, **options)
     doc, text_hash, keep, dropped = fresh_names(documents, "doc", "hash", "keep", "dropped")
-    matched = small(bitmaps, 128).toDF(doc, text_hash, keep, dropped)
+    matched = small(bitmaps, 128).select("doc_id", "text_hash", _expanded(F.col("keep")), "n_dropped").toDF(
+        doc, text_hash, keep, dropped
+    )
     joined = documents.join(
         matched,
         documents[id_column].eqNullSafe(F.col(doc)) & (F.xxhash64(documents[text_column]) == F.col(text_hash)),

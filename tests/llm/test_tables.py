@@ -1,6 +1,7 @@
 """Exact and line dedup, archive, mixing, packing, vectors, toxicity and the pipeline."""
 
 import math
+import re
 from collections import Counter, defaultdict
 
 import duckdb
@@ -17,7 +18,7 @@ from utterscope.llm.packing import pack
 from utterscope.llm.queries import ORACLE, QUERIES
 from utterscope.llm.toxicity import score_documents
 from utterscope.llm.vector_dedup import vector_dedup
-from utterscope.llm.warc import round_trip
+from utterscope.llm.warc import Archive, read_archive, round_trip, write_archive
 
 DOCUMENT = "doc_id long, text string, source string, row int, hash string, key string"
 
@@ -92,6 +93,12 @@ def test_archive_round_trip(spark):
         assert body.endswith(b"\r\n\r\n") and len(body) == length + 4
         if r.record_type == "response":
             assert record.endswith(bytes(r.payload) + b"\r\n\r\n")
+    ids = {re.search(rb"WARC-Record-ID: (\S+)", bytes(r.record))[1]: r for r in got}
+    assert len(ids) == len(pages)
+    for r in got:
+        if r.record_type == "revisit":
+            other = ids[re.search(rb"WARC-Refers-To: (\S+)", bytes(r.record))[1]]
+            assert (other.page_id, other.record_type) == (r.refers_to, "response")
     kinds = Counter((r.page_id, r.record_type, r.refers_to) for r in got)
     assert kinds == {
         (1, "revisit", 2): 1, (2, "response", None): 1, (2, "revisit", 2): 1, (None, "revisit", 2): 1,
@@ -100,6 +107,18 @@ def test_archive_round_trip(spark):
     assert round_trip(data.limit(0)).count() == 0
 
 
+def test_a_wrong_length_stops_the_reading(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "ok")], "page_id long, url string, html string")
+    archive = write_archive(pages, str(tmp_path))
+    records = [(bytes(r.header), bytes(r.address)) for r in spark.read.parquet(archive.records).collect()]
+    assert read_archive(spark, archive).count() == 1
+    changed = [(header.replace(b"msgtype=response\r\nContent-Length: ", b"msgtype=response\r\nContent-Length: 1"), a) for header, a in records]
+    assert changed != records
+    spark.createDataFrame(changed, "header binary, address binary").write.parquet(str(tmp_path / "wrong"))
+    with pytest.raises(Exception, match="missing or damaged"):
+        read_archive(spark, Archive(str(tmp_path / "wrong"), archive.payloads)).collect()
+
+
 def test_mix_odd_rows(spark):
     schedule, stream = mix(frame(spark, ODD), rows_per_range=2, copies_per_partition=2)
     got = schedule.collect()

@@ -48,8 +48,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
-    )
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+        F.octet_length("record").cast("long").alias("record_bytes"),
+    )
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,11 +238,26 @@ ORACLE = {
       from documents window same as (partition by coalesce(text, ''))
     """,
     "op6_warc": """
-      select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
-        case when strlen(coalesce(html, '')) >= 1000 and page_id < max(page_id) over same
-             then 'revisit' else 'response' end as record_type,
-        case when strlen(coalesce(html, '')) >= 1000 and page_id < max(page_id) over same
-             then max(page_id) over same end as refers_to
-      from pages window same as (partition by coalesce(html, ''))
+      with named as (
+        select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+          replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') as url,
+          case when strlen(coalesce(html, '')) >= 1000 and page_id < max(page_id) over same
+               then max(page_id) over same end as refers_to
+        from pages window same as (partition by coalesce(html, ''))),
+      bodies as (
+        select *, refers_to is not null as again, concat('HTTP/1.1 200 OK##Content-Type: text/html; charset=utf-8##',
+          'Content-Length: ', payload_bytes, '####') as http
+        from named)
+      select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type,
+        refers_to, strlen(concat('WARC/1.1##WARC-Type: ', case when again then 'revisit' else 'response' end,
+          '##WARC-Record-ID: <urn:uuid:', repeat('x', 36), '>##WARC-Date: 2024-01-01T00:00:00Z##WARC-Target-URI: ', url,
+          '##WARC-Payload-Digest: sha1:', payload_digest, '##',
+          case when again then concat(
+            'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest##WARC-Refers-To: <urn:uuid:',
+            repeat('x', 36), '>##X-Refers-To-Page: ', refers_to, '##') else '' end,
+          'X-Page: ', page_id, '##Content-Type: application/http; msgtype=response##Content-Length: ',
+          strlen(http) + case when again then 0 else payload_bytes end, '####', http, '####'))
+          + case when again then 0 else payload_bytes end as record_bytes
+      from bodies
     """,
 }

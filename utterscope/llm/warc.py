@@ -39,9 +39,9 @@ def _header(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit(BREAK))
 
 
-def _record_id(page_id: Column) -> Column:
-    """A repeatable urn:uuid made of the page number."""
-    digest = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("null"))))
+def _record_id(page_id: Column, row: Column) -> Column:
+    """A urn:uuid made of the page number and of the row, so that repeated rows and null ids differ."""
+    digest = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), row.cast("string")))
     parts = [F.substring(digest, start, n) for start, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -60,7 +60,7 @@ def _headers() -> Column:
     return F.concat(
         F.lit(f"WARC/1.1{BREAK}"),
         _header("WARC-Type", F.col("record_type")),
-        _header("WARC-Record-ID", _record_id(F.col("page_id"))),
+        _header("WARC-Record-ID", _record_id(F.col("page_id"), F.col("row"))),
         _header("WARC-Date", F.lit(DATE)),
         _header("WARC-Target-URI", url),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
@@ -68,7 +68,7 @@ def _headers() -> Column:
             revisit,
             F.concat(
                 _header("WARC-Profile", F.lit(REVISIT_PROFILE)),
-                _header("WARC-Refers-To", _record_id(F.col("refers_to"))),
+                _header("WARC-Refers-To", _record_id(F.col("refers_to"), F.col("last.row"))),
                 _header("X-Refers-To-Page", F.col("refers_to").cast("string")),
             ),
         ).otherwise(F.lit("")),
@@ -151,7 +151,7 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     Each record is put together from its header and its payload, and everything else is read from
     the bytes: type, page and reference from the header, size and digest from the payload. The
     address of a payload is computed anew from its bytes, and a record whose payload is missing or
-    damaged, or whose header states another digest, stops the job.
+    damaged, or whose header states another digest or another length of its body, stops the job.
     """
     records = spark.read.parquet(archive.records)
     payloads = spark.read.parquet(archive.payloads).select(
@@ -167,19 +167,23 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
         value = F.regexp_extract(header, rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
         return F.when(value != "", value)
 
-    sound = F.col("found") & (F.col("payload_digest") == field("WARC-Payload-Digest").substr(6, 40))
     record_type = field("WARC-Type")
+    empty, end = F.encode(F.lit(""), "UTF-8"), F.encode(F.lit(BREAK + BREAK), "UTF-8")
+    record = F.concat("header", F.when(record_type == "revisit", empty).otherwise(F.col("payload")), end)
+    # The body begins behind the first blank line of the record and ends ahead of the last one.
+    ahead = F.octet_length(F.substring_index(header, BREAK + BREAK, 1)) + len(BREAK + BREAK)
+    body = F.octet_length("record") - ahead - len(BREAK + BREAK)
+    sound = (
+        F.col("found")
+        & (F.col("payload_digest") == field("WARC-Payload-Digest").substr(6, 40))
+        & (body == field("Content-Length").cast("long"))
+    )
     damaged = F.raise_error(F.lit("a payload of the archive is missing or damaged")).cast("string")
-    empty = F.encode(F.lit(""), "UTF-8")
-    return records.join(payloads, "address", "left").select(
+    return records.join(payloads, "address", "left").withColumn("record", record).select(
         field("X-Page").cast("long").alias("page_id"),
         F.when(F.coalesce(sound, F.lit(False)), record_type).otherwise(damaged).alias("record_type"),
         field("X-Refers-To-Page").cast("long").alias("refers_to"),
-        F.concat(
-            "header",
-            F.when(record_type == "revisit", empty).otherwise(F.col("payload")),
-            F.encode(F.lit(BREAK + BREAK), "UTF-8"),
-        ).alias("record"),
+        "record",
         "payload",
         "payload_bytes",
         "payload_digest",

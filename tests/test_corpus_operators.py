@@ -179,3 +179,20 @@ def test_signed_hashing(spark):
             expected[pos] += sign * math.log(5 / (held[pos] + 1))
         assert vectors[i] == pytest.approx(expected, rel=1e-6)
     assert encoding.hashed_tfidf(frame.limit(0)).collect() == []
+
+
+def test_stored_sketches_unite(spark, tmp_path):
+    def part(first, last, label):
+        return [("train", label, " ".join(f"w{i}" for i in range(first, last)))]
+
+    days = [part(0, 3000, "a") + part(0, 10, "b"), part(2000, 6000, "a") + [("test", "a", None), ("test", "c", "!")]]
+    for i, day in enumerate(days):
+        lexical.vocabulary_sketches(spark.createDataFrame(day, SCHEMA)).write.parquet(str(tmp_path / str(i)))
+    stored = spark.read.parquet(*(str(tmp_path / str(i)) for i in range(2)))
+    got = {(r.split, r.label): r for r in lexical.estimated_vocabulary(stored).collect()}
+    assert got["train", "a"].token_count == 7000
+    assert got["train", "a"].vocab_size == pytest.approx(6000, rel=0.035)
+    assert (got["train", "b"].vocab_size, got["test", "c"].vocab_size) == (10, 0)
+    assert got["test", "c"].type_token_ratio == 0.0 and set(got) == {("train", "a"), ("train", "b"), ("test", "c")}
+    whole = lexical.estimated_vocabulary(stored, []).first()
+    assert whole.vocab_size == pytest.approx(6000, rel=0.035)

@@ -3,7 +3,7 @@ import pytest
 from conftest import MEDIUM, rows
 from pyspark.sql import functions as F
 
-from utterscope.operators import nearest, projection, semantic, sums
+from utterscope.operators import edges, nearest, projection, semantic, sums
 from utterscope.operators.quantiles import grouped_median, grouped_stats, ordered_key
 from utterscope.plans import views
 from utterscope.sources.intermediate import materialize
@@ -105,12 +105,13 @@ def test_manifest_gives_null_centroid_and_cohesion(spark, emb):
     assert pairs["test", "a", "none"] is None
 
 
-def test_cohesion_and_its_spread(emb, by_label):
+def test_cohesion_and_its_spread(monkeypatch, emb, by_label):
     similar = {
         k[0]: np.array([cosine(v, vs.mean(axis=0)) for v in vs]) for k, vs in group("label").items()
     }
     mean = {r.label: r.cohesion for r in semantic.cohesion(emb, BY_LABEL).collect()}
     assert mean == {k: pytest.approx(v.mean()) for k, v in similar.items()}
+    monkeypatch.setattr(semantic, "ROWS_PER_SALT", 7)
     for options in ({}, {"limit": 0}):
         for r in semantic.cohesion_stats(emb, by_label, BY_LABEL, **options).collect():
             v = similar[r.label]
@@ -159,8 +160,27 @@ def test_pairs_and_edges(monkeypatch, by_split, block):
     }
     got = {(r.split, r.label1, r.label2): r.similarity for r in semantic.centroid_pairs(by_split).collect()}
     assert got == expected
-    edges = semantic.similarity_edges(by_split, 0.1).collect()
-    assert {(r.split, r.label1, r.label2) for r in edges} == {k for k, v in got.items() if v >= 0.1}
+    for threshold in (0.1, -0.2):
+        found = edges.similarity_edges(by_split, threshold, block=block).collect()
+        assert {(r.split, r.label1, r.label2) for r in found} == {k for k, v in got.items() if v >= threshold}
+
+
+def test_high_thresholds_compute_fewer_pairs(spark):
+    draw = np.random.default_rng(7)
+    middles = draw.normal(size=(12, 10))
+    vectors = np.vstack([middles[i % 12] + draw.normal(scale=0.15, size=10) for i in range(240)] + [np.zeros(10)])
+    data = [(i % 2, i, v.tolist()) for i, v in enumerate(vectors)]
+    cents = materialize(spark.createDataFrame(data, "split int, label int, centroid array<double>"), "test")
+    units = vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-300)[:, None]
+    cosines = units @ units.T
+    counted = []
+    for threshold in (0.2, 0.6, 0.9, 0.97):
+        expected = {(i, j) for i in range(241) for j in range(i + 2, 241, 2) if cosines[i, j] >= threshold}
+        found = edges.similarity_edges(cents, threshold, block=10).collect()
+        assert {(r.label1, r.label2) for r in found} == expected and len(found) == len(expected)
+        counted.append(edges.candidate_pairs(cents, threshold, ["split"], block=10).count())
+    assert counted == sorted(counted, reverse=True) and counted[-1] < 120 * 119 / 2
+    assert edges.similarity_edges(cents.limit(0), 0.5).count() == 0
 
 
 @pytest.mark.parametrize("metric", semantic.METRICS)

@@ -47,13 +47,13 @@ def nearest_centroid(emb: DataFrame, cents: DataFrame, limit: int = LOT_BYTES) -
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("id", "label")}
     kinds["nearest"] = known.schema["nearest"].dataType.simpleString()
     if size <= limit:
-        shared = emb.sparkSession.sparkContext.broadcast(_lot(known.orderBy("nearest")))
+        shared = emb.sparkSession.sparkContext.broadcast(lot_of(known.orderBy("nearest")))
         found = ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + ", distance double"
         return rows.mapInArrow(_of_all(shared), found)
     return _by_cells(rows, known, kinds, size, limit)
 
 
-def _lot(known: DataFrame) -> tuple[pa.Array, np.ndarray]:
+def lot_of(known: DataFrame) -> tuple[pa.Array, np.ndarray]:
     """Labels and vectors of centroids that fit one lot."""
     table = known.select("nearest", "centroid").toArrow().combine_chunks()
     if not table.num_rows:
@@ -89,22 +89,22 @@ def _of_all(shared):
     return task
 
 
-def _apart(cosines: np.ndarray) -> np.ndarray:
+def apart(cosines: np.ndarray) -> np.ndarray:
     """Distances of unit vectors from their cosines."""
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosines))
 
 
-def _homes(shared):
-    """The cell and the distance to its pivot of each centroid."""
+def homes(shared):
+    """The cell and the distance to its pivot of each row with a unit vector ``centroid``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = shared.value
         for batch in batches:
             cosines = matrix(batch.column("centroid")) @ pivots.T
             cell = cosines.argmax(axis=1) if batch.num_rows else np.empty(0, np.int64)
-            away = _apart(cosines[np.arange(len(cell)), cell])
+            away = apart(cosines[np.arange(len(cell)), cell])
             columns = [*batch.columns, pa.array(cell, pa.int32()), pa.array(away, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["nearest", "centroid", "cell", "away"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "cell", "away"])
 
     return task
 
@@ -116,7 +116,7 @@ def _visits(shared):
         pivots, cells, radii = shared.value
         for batch in batches:
             vectors = unit_rows(matrix(batch.column("vec")))
-            distances = _apart(vectors @ pivots.T)
+            distances = apart(vectors @ pivots.T)
             usable = np.isfinite(distances).all(axis=1) & vectors.any(axis=1)
             nearest = distances.min(axis=1, initial=np.inf)
             wanted = (distances[:, cells] - radii <= nearest[:, None] + SLACK) & usable[:, None]
@@ -147,16 +147,16 @@ def _by_cells(rows: DataFrame, known: DataFrame, kinds: dict[str, str], size: in
     least, zero = ends.first()
     width = 8 * len(known.select("centroid").first()[0])
     wanted = max(1, min(PIVOTS_PER_LOT * -(-size // limit), limit // width))
-    _, pivots = _lot(aimed.orderBy(F.xxhash64("nearest"), "nearest").limit(wanted))
+    _, pivots = lot_of(aimed.orderBy(F.xxhash64("nearest"), "nearest").limit(wanted))
     pivots = pivots.reshape(len(pivots), width // 8)
-    homes = materialize(
-        aimed.mapInArrow(_homes(context.broadcast(pivots)), f"nearest {kinds['nearest']}, centroid array<double>, cell int, away double"),
+    placed = materialize(
+        aimed.mapInArrow(homes(context.broadcast(pivots)), f"nearest {kinds['nearest']}, centroid array<double>, cell int, away double"),
         "cells",
     )
     # A cell of more than one lot is cut by a hash; each piece has a radius of its own.
-    pieces = homes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) * (width + 64) / limit).cast("int").alias("pieces"))
+    pieces = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) * (width + 64) / limit).cast("int").alias("pieces"))
     piece = F.pmod(F.xxhash64("nearest"), F.col("pieces")).cast("int")
-    cut = homes.join(F.broadcast(pieces), "cell").withColumn("piece", piece)
+    cut = placed.join(F.broadcast(pieces), "cell").withColumn("piece", piece)
     # One row per lot of centroids.
     lots = cut.groupBy("cell", "piece").agg(F.max("away").alias("radius")).orderBy("cell", "piece").toArrow()
     cells, numbers, radii = (lots.column(c).to_numpy() for c in ("cell", "piece", "radius"))

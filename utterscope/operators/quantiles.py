@@ -51,11 +51,11 @@ def ordered_key(value: Column) -> Column:
     return F.when(F.isnan(value), F.lit(beyond + 1)).when(value < 0, -positive).otherwise(positive)
 
 
-def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Inner join on the columns ``by``, where null is a group like any other."""
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on the columns ``by``, where null is a group like any other."""
     renamed = right.withColumnsRenamed({c: f"_{c}" for c in by})
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.lit(True))
-    return left.join(renamed, same).drop(*[f"_{c}" for c in by])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return left.join(renamed, same, how).drop(*[f"_{c}" for c in by])
 
 
 def grouped_stats(frame: DataFrame, by: Sequence[str], value: str, ranked: int = RANKED) -> DataFrame:

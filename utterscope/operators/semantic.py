@@ -25,7 +25,8 @@ from utterscope.sources.intermediate import (
 BY_SPLIT = ("split", "label")
 METRICS = ("cosine", "euclidean")
 PAIR_BLOCK = 256
-SALTS = 64
+#: Rows of one group that share a key where rows meet centroids in a shuffle.
+ROWS_PER_SALT = 1_000_000
 WINNER_BYTES = 256
 
 
@@ -81,15 +82,20 @@ def attach_centroid(
     """Join every row with the centroid of its own group.
 
     ``cents`` must be a materialized table. Up to ``limit`` bytes it is broadcast; beyond that both
-    sides are shuffled with a salt, so that a large label is spread over many tasks. Null is a
-    group like any other.
+    sides are shuffled. A group of more than ``ROWS_PER_SALT`` rows, which are counted, is then spread over
+    as many keys as it takes; there are few such groups. Null is a group like any other.
     """
     size = vector_table_bytes(cents, "centroid")[1]
     own = cents.select(*by, "centroid")
     if size <= limit:
         return join_groups(emb, F.broadcast(own), by)
-    salted = emb.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    copies = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counts = materialize(emb.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_SALT).cast("int").alias("salts")), "salts")
+    large = broadcast_if_small(counts.where("salts > 1"), WINNER_BYTES)
+    salt = F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")
+    salted = join_groups(emb, large, by, "left").withColumn("salt", salt).drop("salts")
+    copies = join_groups(own, large, by, "left").select(
+        *by, "centroid", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+    )
     return join_groups(salted, copies, [*by, "salt"]).drop("salt")
 
 
@@ -182,13 +188,6 @@ def centroid_pairs(cents: DataFrame, within: Sequence[str] = ("split",)) -> Data
     )
 
 
-def similarity_edges(
-    cents: DataFrame, threshold: float = 0.0, within: Sequence[str] = ("split",)
-) -> DataFrame:
-    """The :func:`centroid_pairs` whose similarity is at least ``threshold``."""
-    return centroid_pairs(cents, within).where(F.col("similarity") >= threshold)
-
-
 def similarity_matrix(cents: DataFrame, metric: str = "cosine") -> DataFrame:
     """``label1, label2, similarity`` for all ordered pairs of labels, the diagonal included.
 

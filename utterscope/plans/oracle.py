@@ -421,6 +421,11 @@ ORACLE: dict[str, str] = {
         f"""select split, label, vocab_size, token_count,
           {_r(_ratio("vocab_size", "token_count"))} as type_token_ratio from vocab""",
     ),
+    "vocab_sketches": _with(
+        _TEXT_VIEWS,
+        """select split, label, count(distinct token) as vocab_size, true as is_close
+        from words group by grouping sets ((split, label), (split), ())""",
+    ),
     "ttr_split_diff": _with(
         _VOCAB_VIEWS,
         f"""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from utterscope.functions.text import preview
 from utterscope.operators import (
     distribution,
+    edges,
     encoding,
     entity,
     intent,
@@ -35,6 +36,7 @@ DIGITS = 6
 BY_LABEL = ("label",)
 # Fixed values shared with the SQL checks.
 EDGE_THRESHOLD = 0.05
+SKETCH_DEVIATIONS = 4
 SAMPLE_SIZE = 5
 SAMPLE_SEED = 0
 LINE_WEIGHTS = {"l_quantity": 0.05, "l_discount": 2.0, "l_tax": -3.0}
@@ -102,6 +104,26 @@ def _centroid_entries(emb: DataFrame) -> DataFrame:
     )
 
 
+def _estimates(corpus: DataFrame) -> DataFrame:
+    """Exact vocabularies per split and label, per split, and of all, and whether united sketches come close."""
+    sketches = materialize(lexical.vocabulary_sketches(corpus), "sketches")
+    counted = materialize(lexical.token_counts(corpus), "token-counts").where("token is not null")
+    bound = SKETCH_DEVIATIONS * 1.04 / 2 ** (lexical.PRECISION / 2)
+    out = None
+    for by in (["split", "label"], ["split"], []):
+        estimate = lexical.estimated_vocabulary(sketches, by).select(*by, F.col("vocab_size").alias("estimate"))
+        exact = counted.groupBy(*by).agg(F.countDistinct("token").alias("vocab_size"))
+        both = exact.join(estimate, by) if by else exact.join(estimate)
+        none = F.lit(None).cast("string")
+        found = both.select(
+            *[(F.col(c) if c in by else none).alias(c) for c in ("split", "label")],
+            "vocab_size",
+            (F.abs(F.col("estimate") - F.col("vocab_size")) <= 1 + bound * F.col("vocab_size")).alias("is_close"),
+        )
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _embedded(corpus: DataFrame) -> DataFrame:
     """The elements of the hashed vectors that are not 0."""
     vectors = encoding.hashed_tfidf(corpus)
@@ -249,6 +271,7 @@ QUERIES: dict[str, Query] = {
     # Text.
     "token_counts": _corpus(lexical.token_counts),
     "vocab_ttr": _corpus(lexical.vocabulary),
+    "vocab_sketches": _corpus(_estimates),
     "ttr_split_diff": _corpus(lambda c: lexical.ratio_difference(lexical.vocabulary(c))),
     "label_union": _corpus(lexical.label_union),
     "label_intersect": _corpus(lexical.label_intersection),
@@ -264,7 +287,7 @@ QUERIES: dict[str, Query] = {
     "cohesion_stats": _by_label(lambda e, c: semantic.cohesion_stats(e, c, BY_LABEL)),
     "cohesion_scaled": _by_label(_scaled),
     "centroid_pairs": _by_split(lambda e, c: semantic.centroid_pairs(c)),
-    "similarity_edges": _by_split(lambda e, c: semantic.similarity_edges(c, EDGE_THRESHOLD)),
+    "similarity_edges": _by_split(lambda e, c: edges.similarity_edges(c, EDGE_THRESHOLD)),
     "centroid_cross_split": _emb(semantic.cross_split_similarity),
     "split_consistency": _emb(_ranked_consistency),
     "distinctiveness_cosine": _by_label(lambda e, c: semantic.similarity_matrix(c, "cosine")),

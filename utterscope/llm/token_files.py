@@ -17,6 +17,7 @@ punctuation; every distinct piece is encoded once and remembered in the Python w
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from utterscope.llm.common import save, shards, slices, small, small_batches
 
@@ -34,7 +36,7 @@ END_ID = 0
 DOCUMENTS_PER_FILE = 500_000
 SLICE_BYTES = 8 * 1024 * 1024
 #: Pieces that a Python worker remembers; when they are full, it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Settings of the writer: rows of a row group, bytes of a stripe, false positives of a Bloom filter.
 ROW_GROUP, STRIPE_BYTES, FALSE_POSITIVES = 1_000, 16 * 1024 * 1024, 0.01
 FILE_SCHEMA = "part int, place long, doc_id long, before long, n_tokens long, ids array<int>"
@@ -45,6 +47,18 @@ _SOLID[0x21:0x7F] = True
 for _low, _high in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)):
     _ALNUM[_low : _high + 1] = True
 _PUNCTUATION = _SOLID & ~_ALNUM
+#: A piece that is one word whatever surrounds it: Latin letters, U+00D7 and U+00F7 not among them.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def _written() -> dict[int, str]:
+    """The character that a byte-level model writes for each byte: printable ones as they are, others from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_WRITTEN = _written()
 
 
 def _letter_before(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,16 +99,12 @@ class Encoder:
         state = self.tokenizer.pre_tokenizer and json.loads(self.tokenizer.pre_tokenizer.__getstate__())
         self.by_piece = bool(
             state
+            and isinstance(self.tokenizer.model, BPE)
             and self.tokenizer.normalizer is None
             and state.get("type") == "ByteLevel"
             and state.get("use_regex")
             and not state.get("add_prefix_space")
         )
-        vocabulary = self.tokenizer.get_vocab()
-        # A byte-level token is written with one character for each of its bytes.
-        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.bytes_of[i] = len(token)
         self._forget()
 
     def _forget(self) -> None:
@@ -135,28 +145,29 @@ class Encoder:
         new = np.flatnonzero(where < 0)
         if not len(new):
             return where
-        offsets = np.frombuffer(pieces.buffers()[1], np.int32)
-        data = np.frombuffer(pieces.buffers()[2], np.uint8)
-        starts, ends = offsets[new], offsets[new + 1]
-        first, last, before = data[starts], data[ends - 1], data[np.maximum(ends - 2, 0)]
-        letter = (ends - starts > 2) & (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
-        # Pieces from white space to a letter or digit can stand one after the other: they are encoded as
-        # one text, and the lengths of the tokens tell where each piece ends. Others go one by one.
-        chained = _SPACE[first] & (_ALNUM[last] | letter)
-        run = [names[n] for n in new[chained]]
-        ids = self._encoded([b"".join(run).decode()])[0]
-        upto = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)))
-        run_ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), upto) + 1
-        rest = [names[n] for n in new[~chained]]
-        rest_ids, rest_ends = _joined(self._encoded([name.decode() for name in rest]))
-        start = len(self.ends) - 1
-        self.values = np.concatenate([self.values, ids, rest_ids])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + run_ends, self.ends[-1] + len(ids) + rest_ends])
-        order = np.concatenate([new[chained], new[~chained]])
-        where[order] = start + np.arange(len(order))
-        self.place.update(zip(run + rest, range(start, start + len(order))))
+        found = self._encoded_pieces([names[n] for n in new])
+        start, ends = len(self.ends) - 1, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        self.values = np.concatenate([self.values, np.fromiter((i for ids in found for i in ids), np.int32, ends[-1])])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends])
+        where[new] = start + np.arange(len(new))
+        self.place.update(zip((names[n] for n in new), range(start, start + len(new))))
         return where
 
+    def _encoded_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of pieces; most are a single word, which the tokenizer's model takes as it is."""
+        out: list[list[int]] = [[]] * len(pieces)
+        rest = []
+        tokenize = self.tokenizer.model.tokenize
+        for i, piece in enumerate(pieces):
+            if _WORD.fullmatch(piece):
+                out[i] = [token.id for token in tokenize(piece.decode("latin-1").translate(_WRITTEN))]
+            else:
+                rest.append(i)
+        others = self.tokenizer.encode_batch([pieces[i].decode() for i in rest], add_special_tokens=False)
+        for i, encoded in zip(rest, others):
+            out[i] = encoded.ids
+        return out
+
 
 def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     ids = np.concatenate([np.empty(0, np.int32), *parts])

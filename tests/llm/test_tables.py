@@ -1,6 +1,7 @@
 """Exact and line dedup, archive, mixing, packing, vectors, toxicity and the pipeline."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ from check import TABLES, normal
 from utterscope.llm.exact_dedup import exact_dedup, rice_decode, rice_encode
 from utterscope.llm.line_dedup import dedup_lines
 from utterscope.llm.mixing import mix, mixed_documents
-from utterscope.llm.packing import pack
+from utterscope.llm.packing import ShardBins, pack
 from utterscope.llm.queries import ORACLE, QUERIES
 from utterscope.llm.toxicity import score_documents
 from utterscope.llm.vector_dedup import vector_dedup
@@ -179,6 +180,39 @@ def test_packing_rules(spark):
     assert pack(frame(spark, [])).count() == 0
 
 
+def test_a_piece_goes_to_the_tightest_compatible_bin():
+    draw = random.Random(3)
+    for trial in range(40):
+        sources, clusters, capacity, per_source = draw.choice([1, 3, 70]), draw.choice([1, 5, 130]), 100, draw.choice([1, 2, 4])
+        pieces = [(draw.randrange(101), draw.randrange(sources), draw.randrange(-1, clusters)) for _ in range(200)]
+        bins = ShardBins(capacity, per_source, sources, clusters, len(pieces))
+        naive: list[list[tuple]] = []
+        for size, source, cluster in pieces:
+            free = [capacity - sum(p[0] for p in b) for b in naive]
+            fits = [
+                i for i, b in enumerate(naive)
+                if free[i] >= size and sum(p[1] == source for p in b) < per_source
+                and (cluster < 0 or all(p[2] != cluster for p in b))
+            ]
+            chosen = bins.place(size, source, cluster)
+            if fits:
+                assert chosen in fits and free[chosen] == min(free[i] for i in fits)
+                naive[chosen].append((size, source, cluster))
+            else:
+                assert chosen == len(naive)
+                naive.append([(size, source, cluster)])
+
+
+def test_shards_leave_few_part_filled_bins(spark):
+    draw = random.Random(4)
+    rows = [(i, " ".join(["w"] * draw.randrange(1, 120)) + f" {i}", f"s{i % 23}") for i in range(3000)]
+    data = frame(spark, rows)
+    one = pack(data, rows_per_shard=10**6, capacity=256, per_source=40).select("bin").distinct().count()
+    many = pack(data, rows_per_shard=100, capacity=256, per_source=40)
+    assert many.select("bin").distinct().count() <= 1.01 * one
+    assert many.count() == 3000 and many.groupBy("bin").agg(F.sum("words").alias("w"), F.max("filled").alias("f")).where("w <> f or w > 256").count() == 0
+
+
 def test_vectors_match_brute_force(spark):
     draw = np.random.default_rng(4)
     base = draw.normal(size=(60, 16))

@@ -9,7 +9,9 @@ is a new one opened. So each piece goes to the tightest compatible bin of its sh
 
 The number of shards grows with the pieces, so a task holds a bounded number of small records; no
 text is shuffled. Shards are dealt by row, so a source or cluster with a third of all rows is
-spread over all of them.
+spread over all of them. What a shard leaves behind, its bins that are not nearly full, is taken apart and
+packed again, dealt anew into as many fewer shards, round after round until one shard holds the rest or a
+round closes less than half of its pieces. So part-filled bins do not add up over the shards.
 """
 
 from __future__ import annotations
@@ -26,7 +28,12 @@ CAPACITY = 2048
 #: Pieces of one source that a bin may hold.
 PER_SOURCE = 4
 ROWS_PER_SHARD = 2048
-PACKED = "row long, piece int, shard int, bin int, position int, words int, filled int"
+#: A bin is closed from this share of its capacity on.
+CLOSED = 0.98
+PACKED = (
+    "row long, doc_id {id}, source {source}, cluster long, piece int, shard int, bin int, position int, "
+    "words int, filled int"
+)
 
 
 class ShardBins:
@@ -96,11 +103,9 @@ def _pack_shard(capacity: int, per_source: int):
         )
         sizes = rows["words"].to_numpy()
         placed = [bins.place(int(s), int(o), int(c)) for s, o, c in zip(sizes, sources, clusters)]
-        out = rows[["row", "piece", "shard"]].assign(bin=placed, words=sizes)
-        grouped = out.groupby("bin")["words"]
-        out["position"] = grouped.cumcount()
-        out["filled"] = grouped.transform("sum")
-        return out[["row", "piece", "shard", "bin", "position", "words", "filled"]]
+        out = rows[["row", "doc_id", "source", "cluster", "piece", "shard"]].assign(bin=placed)
+        grouped = rows.groupby(out["bin"])["words"]
+        return out.assign(position=grouped.cumcount(), words=sizes, filled=grouped.transform("sum"))
 
     return task
 
@@ -126,7 +131,7 @@ def pack(
     A document of more than ``capacity`` words is cut: piece k starts at word k * capacity. Words are
     runs of characters other than ASCII white space, and every word of every text is packed. A text
     without words (null, empty, blank) is one piece of zero words and is packed as well. ``bin`` is
-    ``shard:number``, ``position`` the place of the piece in its bin, ``filled`` the words of the bin.
+    ``round:shard:number``, ``position`` the place of the piece in its bin, ``filled`` the words of the bin.
     No bin exceeds the capacity, holds two pieces of one duplicate ``cluster`` (equal texts unless
     another column is given; a null cluster is one of its own kind per row) or more than ``per_source``
     pieces of one source; a null source counts as a source. Pieces of one document share its cluster,
@@ -150,19 +155,34 @@ def pack(
         "row", "doc_id", "source", "cluster", "size",
         F.explode(F.sequence(F.lit(0), last)).alias("piece"),
     ).withColumn("words", F.least(F.col("size") - F.col("piece").cast("long") * capacity, F.lit(capacity)).cast("int"))
-    n = pieces.count()
-    drawn = F.xxhash64(F.lit(7), "doc_id", "cluster", "row", "piece")
-    packed = (
-        pieces.withColumn("shard", F.pmod(drawn, F.lit(shards(n, rows_per_shard))).cast("int"))
-        .groupBy("shard")
-        .applyInPandas(_pack_shard(capacity, per_source), PACKED)
-    )
-    return measured.select("row", "doc_id").join(packed, "row").select(
+    kinds = {c: pieces.schema[name].dataType.simpleString() for c, name in (("id", "doc_id"), ("source", "source"))}
+    done, left, turn = [], pieces.select("row", "doc_id", "source", "cluster", "piece", "words"), 0
+    n = left.count()
+    while True:
+        parts = shards(n, rows_per_shard)
+        drawn = F.xxhash64(F.lit(7 + turn), "doc_id", "cluster", "row", "piece")
+        packed = save(
+            left.withColumn("shard", F.pmod(drawn, F.lit(parts)).cast("int"))
+            .groupBy("shard")
+            .applyInPandas(_pack_shard(capacity, per_source), PACKED.format(**kinds)),
+            "packed",
+        ).withColumn("turn", F.lit(turn))
+        open_ = F.col("filled") < CLOSED * capacity
+        remaining = packed.where(open_).count()
+        if parts == 1 or 2 * remaining > n:
+            done.append(packed)
+            break
+        done.append(packed.where(~open_))
+        left, n, turn = packed.where(open_).select(*left.columns), remaining, turn + 1
+    whole = done[0]
+    for more in done[1:]:
+        whole = whole.unionByName(more)
+    return whole.select(
         "doc_id",
         "piece",
         (F.col("piece").cast("long") * capacity).alias("first_word"),
         F.col("words").cast("long").alias("words"),
-        F.concat_ws(":", "shard", "bin").alias("bin"),
+        F.concat_ws(":", "turn", "shard", "bin").alias("bin"),
         "position",
         F.col("filled").cast("long").alias("filled"),
     )

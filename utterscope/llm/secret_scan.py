@@ -1,14 +1,15 @@
 """Secret scan: base patterns, and character Markov models compared by log-likelihood ratio; no Python on the executors.
 
-Two models count transitions between neighbouring characters. The labelled samples come from all
+The models count transitions between neighbouring characters. The labelled samples come from all
 documents: values that a base pattern marks are random strings, other tokens of the same alphabet
 and length are ordinary identifiers, but for those that change between digits and letters or from lower
-to upper case too often to be one: they are only judged, or secrets would vouch for themselves. Counting combines before the shuffle and ends in at most
-2 * 128 * 128 numbers. The samples of random strings show only the alphabets that base patterns can
-mark, so uniform strings over each of ``CLASSES`` are random models as well. A token that no base span
+to upper case too often to be one: they are only judged, or secrets would vouch for themselves. Each
+random sample trains the model of the smallest of the ``CLASSES`` that holds its characters; until a class has
+samples, its model is the even choice that all of them start from. Counting combines before the shuffle
+and ends in at most 4 * 128 * 128 numbers. A token that no base span
 touches becomes a span when the mean log-likelihood ratio of its transitions, of any random model
 against the ordinary one, is at least ``MIN_MEAN`` and it holds a letter. A token without lower-case letters is read in
-lower case: its case tells nothing.
+lower case: its case tells nothing. Texts are scanned once; spans and tokens are written and read again.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from utterscope.llm.common import lower_ascii
+from utterscope.llm.common import lower_ascii, save
 
 # The base patterns, in the order of their kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,11 +40,11 @@ BACK_OFF = 200.0
 #: Places where the class of characters changes, and their largest share in a token that the ordinary model learns from.
 CHANGE = r"[a-z](?=[A-Z0-9])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])"
 MAX_CHANGES = 0.2
-#: Alphabets of random strings that need no sample, after the lower case of one-case tokens.
+#: Alphabets of random strings, each in the next one, after the lower case of one-case tokens.
 CLASSES = ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", ALPHABET)
-#: Share of a uniform choice in the learned models, so that no unseen character decides alone.
+#: Share of an even choice in the ordinary model, so that no unseen character decides alone.
 UNIFORM = 0.05
-#: The same for characters outside a class.
+#: The same in a random model, for characters outside its class.
 OUTSIDE = 0.001
 _SPANS = "array<struct<start:long,kind:int,end:long,value:string>>"
 
@@ -101,9 +102,14 @@ def _scanned(documents: DataFrame, id_column: str, text_column: str) -> DataFram
     )
 
 
+def _as_read(value: Column) -> Column:
+    """One-case values in lower case."""
+    return F.when(F.rlike(value, F.lit("[a-z]")), value).otherwise(lower_ascii(value))
+
+
 def _transitions(value: Column) -> Column:
     """Codes of neighbouring characters: 128 * first + second; one-case values in lower case."""
-    characters = F.split(F.when(F.rlike(value, F.lit("[a-z]")), value).otherwise(lower_ascii(value)), "")
+    characters = F.split(_as_read(value), "")
     n = F.size(characters)
     return F.zip_with(
         F.slice(characters, F.lit(1), F.greatest(n - 1, F.lit(0))),
@@ -121,31 +127,36 @@ def _plain(token: Column) -> Column:
 def train(scanned: DataFrame) -> list[list[float]]:
     """Log-likelihood ratios of every transition code against ordinary identifiers, one list per random model.
 
-    Without any ordinary token to learn from there is no list and nothing is found; without any sample
-    of random strings only the uniform models are left.
+    Without any ordinary token to learn from there is no list and nothing is found.
     """
-    value = F.when(F.col("span.kind") == 0, F.regexp_extract(F.col("span.value"), ASSIGN, 2)).otherwise(
-        F.col("span.value")
+    span = F.col("span")
+    # What a pattern prescribes says nothing about random characters.
+    value = (
+        F.when(span["kind"] == 0, F.regexp_extract(span["value"], ASSIGN, 2))
+        .when(span["kind"] == 1, F.substring(span["value"], 5, 1 << 30))
+        .otherwise(span["value"])
     )
+    read = _as_read(value)
+    of_class = F.when(span["kind"] == 3, -1)
+    for i, characters in enumerate(CLASSES[:-1]):
+        of_class = of_class.when(F.length(F.translate(read, characters, "")) == 0, i)
     counts = (
         scanned.select(F.explode(F.concat("base", F.filter("tokens", _plain))).alias("span"))
-        .select((F.col("span.kind") < 3).alias("random"), F.explode(_transitions(value)).alias("code"))
-        .groupBy("random", "code")
+        .select(of_class.otherwise(len(CLASSES) - 1).alias("class"), F.explode(_transitions(value)).alias("code"))
+        .groupBy("class", "code")
         .count()
-        .collect()  # at most 2 * 128 * 128 rows
+        .collect()  # at most 4 * 128 * 128 rows
     )
-    models = {True: {}, False: {}}
+    samples: dict[int, dict[int, int]] = {i: {} for i in range(-1, len(CLASSES))}
     for row in counts:
-        models[row["random"]][row["code"]] = row["count"]
-    if not models[False]:
+        samples[row["class"]][row["code"]] = row["count"]
+    if not samples[-1]:
         return []
     codes = [ord(c) for c in ALPHABET]
-    ordinary = _log_probabilities(models[False], codes)
-    randoms = [_uniform(characters, codes) for characters in CLASSES]
-    if models[True]:
-        randoms.append(_log_probabilities(models[True], codes))
+    ordinary = _log_probabilities(samples[-1], codes)
     out = []
-    for logs in randoms:
+    for i, characters in enumerate(CLASSES):
+        logs = _random(samples[i], characters, codes)
         ratios = [0.0] * (128 * 128)
         for code in logs:
             ratios[code] = round(logs[code] - ordinary[code], 4)
@@ -171,12 +182,19 @@ def _log_probabilities(counts: dict[int, int], codes: list[int]) -> dict[int, fl
     return out
 
 
-def _uniform(characters: str, codes: list[int]) -> dict[int, float]:
-    """The same for strings that draw every character alike from ``characters``."""
-    inside = (1 - OUTSIDE) / len(characters)
-    return {
-        a * 128 + b: math.log(inside * (chr(b) in characters) + OUTSIDE / len(codes)) for a in codes for b in codes
-    }
+def _random(counts: dict[int, int], characters: str, codes: list[int]) -> dict[int, float]:
+    """Logarithm of the probability of each transition in random strings over ``characters``.
+
+    Learned from the counts; an even choice of the characters counts like ``BACK_OFF`` transitions.
+    """
+    inside = [ord(c) for c in characters]
+    out = {}
+    for a in codes:
+        total = sum(counts.get(a * 128 + b, 0) for b in inside) + BACK_OFF
+        for b in codes:
+            learned = (counts.get(a * 128 + b, 0) + BACK_OFF / len(inside)) / total if b in inside else 0.0
+            out[a * 128 + b] = math.log((1 - OUTSIDE) * learned + OUTSIDE / len(codes))
+    return out
 
 
 def _rendered(spans: Column) -> Column:
@@ -200,7 +218,7 @@ def scan_secrets(
     counts as empty; without a span the list is an empty string. Repeated rows give repeated results
     and an empty table none. Other columns are not read.
     """
-    scanned = _scanned(documents, id_column, text_column)
+    scanned = save(_scanned(documents, id_column, text_column), "secret-tokens")
     models = [F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>") for ratios in train(scanned)]
 
     def secret(token: Column) -> Column:

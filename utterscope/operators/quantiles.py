@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from utterscope.sources.intermediate import BROADCAST_LIMIT_BYTES, materialize
@@ -72,8 +72,10 @@ def grouped_stats(frame: DataFrame, by: Sequence[str], value: str, ranked: int =
     shift = 64 - DIGIT_BITS
     found = _middle(_counted(placed, by, shift, []), by, ["n", "mean", "std"], first=True)
     while True:
-        found = materialize(found, "middle-cells")
-        size = found.agg(F.count(F.lit(1)).alias("rows"), F.max("inside").alias("inside")).first()
+        watched = Observation()
+        sizes = (F.count(F.lit(1)).alias("rows"), F.max("inside").alias("inside"))
+        found = materialize(found.observe(watched, *sizes), "middle-cells")
+        size = watched.get
         small = F.broadcast(found) if size["rows"] * MIDDLE_ROW_BYTES <= BROADCAST_LIMIT_BYTES else found
         inside = _inside(placed, small, by, shift)
         if shift == 0 or (size["inside"] or 0) <= ranked:

@@ -18,6 +18,7 @@ the tasks in lots of a bounded size; more than one lot means one pass for each.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -127,11 +128,12 @@ class Statistics:
 def _statistics(counted: DataFrame, lot: Lot) -> Statistics:
     row = counted.where("n > 0").agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     held = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    df = np.zeros(len(lot.terms))
+    df = [0] * len(lot.terms)
     for found in held.toLocalIterator():  # at most one row per term of the lot
         df[found["term"]] = found["df"]
-    weights = np.floor(WEIGHT_SCALE * np.log((2.0 * row["documents"] + 2) / (2 * df + 1))).astype(np.int64)
-    return Statistics(row["documents"], max(1, row["terms"]), weights)
+    # One logarithm at a time: those of whole arrays may differ in the last bit.
+    weights = [math.floor(WEIGHT_SCALE * math.log((2 * row["documents"] + 2) / (2 * held_by + 1))) for held_by in df]
+    return Statistics(row["documents"], max(1, row["terms"]), np.array(weights, np.int64))
 
 
 class Block:

@@ -335,6 +335,10 @@ ORACLE: dict[str, str] = {
       select doc_id, nullif(regexp_replace(text, '\r\n|\r', '\n', 'g'), '') as utterance, nullif(lang, '') as expected,
         nullif(source, '') as matched, cast(null as varchar) as result_type, cast(null as varchar) as reject
       from documents""",
+    "report_preamble": f'''
+      select unnest(['Bot Name:', 'Threshold:', 'Notes:']) as key,
+        unnest(['Bank', '5" pipe', 'a ""b""","c']) as value,
+        (select count(distinct doc_id // {q.ROWS_PER_REPORT}) from documents) as reports''',
     "corpus_files": f"""
       select lang as label, regexp_replace(text, '\r\n|\r', '\n', 'g') as text, cast(null as varchar) as reject
       from documents where text <> ''

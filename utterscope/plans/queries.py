@@ -188,8 +188,8 @@ ROWS_PER_REPORT = 5000
 DAMAGED_LABEL = "damaged"
 
 
-def _report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as rows of raw reports, written and split again; a report holds a range of ids."""
+def _written_reports(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of raw reports that hold all documents as rows, a range of ids in each."""
     report = F.concat(F.lit("r"), F.expr(f"doc_id div {ROWS_PER_REPORT}")).alias("report")
     documents = views.table(spark, sf_dir, "documents").select(report, "doc_id", "text", "lang", "source")
     cells = F.to_csv(F.struct("text", "lang", "source", "doc_id"), files.EXACT | {"quoteAll": "true", "emptyValue": ""})
@@ -199,7 +199,18 @@ def _report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_folder(spark, "raw-reports")
     in_order = lines.repartition("report").sortWithinPartitions("report", "place").select("report", "line")
     in_order.write.partitionBy("report").text(path)
-    return reports.split_reports(spark, path).select(
+    return path
+
+
+def _report_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and values above the tables of the written reports, and how many reports have them."""
+    found = reports.key_values(reports.preamble(spark, _written_reports(spark, sf_dir)))
+    return found.groupBy("key", "value").agg(F.count(F.lit(1)).alias("reports"))
+
+
+def _report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the written reports, split again."""
+    return reports.split_reports(spark, _written_reports(spark, sf_dir)).select(
         F.col("extra")["Document"].cast("long").alias("doc_id"), "utterance", "expected", "matched", "result_type", "reject"
     )
 
@@ -245,6 +256,7 @@ QUERIES: dict[str, Query] = {
     "corpus_scan": _corpus(lambda c: c.where(F.col("text").isNotNull())),
     "report_metadata": _report_metadata,
     "report_rows": _report_rows,
+    "report_preamble": _report_preamble,
     "corpus_files": _corpus_files,
     "json_round_trip": _json_round_trip,
     "csv_round_trip": _csv_round_trip,

@@ -99,6 +99,26 @@ def test_licenses_bare_notice_and_one_altered_word(spark):
         assert (r.labels, pytest.approx(r.score)) == wanted[text], text
 
 
+def test_parts_of_whole_license_texts(spark):
+    """Every template of at least 20 distinct words forgives one of them, wherever it stands in a long text."""
+    texts, expected = [], []
+    for label, phrase in TEMPLATES:
+        words = phrase.split()
+        if len(set(phrase.lower().split())) < 22:
+            continue
+        once = [i for i, w in enumerate(words) if words.count(w) == 1]
+        for i in (once[0], once[len(once) // 2]):
+            cut = words[:i] + words[i + 1 :]
+            texts.append(" ".join(["plain"] * 300 + cut + ["words"] * 300))
+            expected.append(label)
+        texts.append(" ".join(w for k, w in enumerate(words) if k not in once[:6]))
+        expected.append(None)
+    got = {r.doc_id: r for r in scan_licenses(frame(spark, texts)).collect()}
+    for i, label in enumerate(expected):
+        assert (label in got[i].labels.split(",")) if label else got[i].labels == "", texts[i]
+        assert got[i].score > 0.9 if label else got[i].score == 0
+
+
 def test_secrets_match_brute_force(spark):
     got = scan_secrets(frame(spark, SECRET_TEXTS)).collect()
     assert len(got) == len(SECRET_TEXTS) + 1

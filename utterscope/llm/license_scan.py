@@ -38,15 +38,39 @@ TEMPLATES = [
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
             "associated documentation files, to deal in the Software without restriction"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial "
+            "portions of the Software"),
+    ("mit", "The Software is provided as is, without warranty of any kind, express or implied, including but not "
+            "limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors "
+             "be held liable for any damages arising from the use of this software"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, "
+                  "modify, publish, use, compile, sell, or distribute this software"),
     ("apache-2", "Licensed under the Apache License, Version 2.0."),
+    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the "
+                 "License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+                 "distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
     ("gpl-3", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the "
               "GNU General Public License as published by the Free Software Foundation, version 3"),
     ("lgpl-3", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("lgpl-3", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+               "Lesser General Public License as published by the Free Software Foundation; either version 3"),
+    ("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+               "Affero General Public License as published by the Free Software Foundation, either version 3"),
     ("agpl-3", "Licensed under the GNU Affero General Public License, version 3."),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted "
             "provided that the following conditions are met"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+            "promote products derived from this software without specific prior written permission"),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+              "License 2.0"),
+    ("cc0", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright "
+            "and related or neighboring rights to this work"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by-sa", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
@@ -62,6 +86,7 @@ REQUIRED = {
     "lgpl-3": ("gnu", "lesser", "3"),
     "agpl-3": ("gnu", "affero", "3"),
     "mpl-2": ("mozilla", "2"),
+    "epl-2": ("eclipse", "2"),
     "cc-by-nc": ("cc", "by", "nc", "creative", "commons", "attribution", "noncommercial"),
     "cc-by-sa": ("creative", "commons", "attribution", "sharealike"),
     "all-rights-reserved": ("all", "rights", "reserved"),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from utterscope.functions.vectors import dot, norm, unit
 from utterscope.operators.nearest import LOT_BYTES, SLACK, apart, homes, lot_of
 from utterscope.operators.semantic import centroid_pairs
-from utterscope.sources.intermediate import materialize
+from utterscope.sources.intermediate import materialize, spread
 
 #: Members of a block.
 PAIR_BLOCK = 256
@@ -58,12 +58,12 @@ def candidate_pairs(cents: DataFrame, threshold: float, within: Sequence[str], b
     cut = placed.join(renamed, _all(same)).drop(*[f"of_{c}" for c in (*within, "cell")])
     cut = cut.withColumn("block", F.xxhash64(*within, "cell", F.pmod(F.xxhash64("label"), F.col("pieces"))))
     cut = materialize(cut.select(*within, "label", "centroid", "cell", "away", "block"), "blocked")
-    blocks = cut.groupBy("block", F.xxhash64(*within).alias("of"), "cell").agg(F.max("away").alias("radius"))
-    # One row per block; each block finds its partners, itself and greater ones, in one task.
-    listed = blocks.orderBy("block").toArrow().combine_chunks()
+    of = F.xxhash64(*within) if within else F.lit(0).cast("long")
+    blocks = materialize(cut.groupBy("block", of.alias("of"), "cell").agg(F.max("away").alias("radius")), "block-list")
+    # One row per block goes to the tasks; there each block finds its partners, itself and greater ones.
+    listed = blocks.toArrow().combine_chunks()
     every = spark.sparkContext.broadcast((pivots, *(listed.column(c).to_numpy() for c in ("block", "of", "cell", "radius"))))
-    partners = spark.createDataFrame(listed.to_pandas()) if listed.num_rows else blocks
-    pairs = materialize(partners.select("block", "of", "cell", "radius").mapInArrow(_partners(every, threshold), "block1 long, block2 long"), "block-pairs")
+    pairs = materialize(spread(blocks).mapInArrow(_partners(every, threshold), "block1 long, block2 long"), "block-pairs")
     left = cut.select(*within, F.col("label").alias("label1"), F.col("centroid").alias("v1"), F.col("block").alias("b1"))
     right = cut.select(F.col("label").alias("label2"), F.col("centroid").alias("v2"), F.col("block").alias("b2"))
     met = left.join(pairs, F.col("b1") == F.col("block1")).join(right, F.col("b2") == F.col("block2"))

@@ -17,6 +17,7 @@ punctuation; every distinct piece is encoded once and remembered in the Python w
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -93,6 +94,8 @@ class Encoder:
     """A tokenizer of a file that remembers the pieces it has seen."""
 
     def __init__(self, path: str):
+        # Spark runs a task per core; the tokenizer is not to start threads of its own on top.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         # The strings of special tokens are ordinary text in a document.
         self.tokenizer.encode_special_tokens = True

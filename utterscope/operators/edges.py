@@ -29,9 +29,9 @@ def similarity_edges(
     """``*within, label1, label2, similarity``: the centroid pairs whose similarity is at least ``threshold``.
 
     ``cents`` must be a materialized table. A zero centroid has similarity 0 with every other one. From 0
-    downwards no bound is asked for and all pairs are computed.
+    downwards, and among the members of a single block, there is nothing to leave out and all pairs are computed.
     """
-    if threshold <= 0:
+    if threshold <= 0 or cents.count() <= block:
         return centroid_pairs(cents, within).where(F.col("similarity") >= threshold)
     return candidate_pairs(cents, threshold, within, block).where(F.col("similarity") >= threshold)
 

@@ -10,6 +10,7 @@ from conftest import SMALL
 
 import __spark_entry__ as spark_entry
 from check import TABLES, normal
+from utterscope.plans import queries as core
 from utterscope.plans.queries import QUERIES as CORE
 
 QUERIES = spark_entry.queries()
@@ -50,6 +51,13 @@ def test_every_check_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
 
+def test_reports_written_by_one_task_are_counted_apart(spark, monkeypatch):
+    monkeypatch.setattr(core, "ROWS_PER_REPORT", 20)
+    many = len({r.doc_id // 20 for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect()})
+    assert many > 4  # shuffle partitions of the session, so that a task writes several
+    assert {r.reports for r in QUERIES["report_preamble"](spark, SMALL).collect()} == {many}
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     frame = QUERIES[name](spark, SMALL)

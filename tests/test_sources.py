@@ -212,6 +212,28 @@ def test_preamble_of_a_report_read_in_parts(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_reports_named_by_their_folders(spark, tmp_path):
+    for name in ("report=a b", "report=c%3D"):
+        (tmp_path / name).mkdir()
+        for i in range(2):
+            text = f"k,{name[-1]}{i}\nk{i},v\nUtterance,ResultType\nu{i},TP\n"
+            (tmp_path / name / f"part-{i}.csv").write_text(text)
+    lines = reports.preamble(spark, str(tmp_path), report_folders=True)
+    assert rows(lines.where("report = 'a b'"), "line_no") == [
+        ("a b", 1, "k,b0"), ("a b", 2, "k0,v"), ("a b", 3, "k,b1"), ("a b", 4, "k1,v"),
+    ]
+    assert rows(reports.key_values(lines)) == [
+        ("a b", "k", "b1"), ("a b", "k0", "v"), ("a b", "k1", "v"), ("c=", "k", "D1"), ("c=", "k0", "v"), ("c=", "k1", "v"),
+    ]
+    split = reports.results(reports.split_reports(spark, str(tmp_path), report_folders=True))
+    assert rows(split.select("report", "utterance")) == [("a b", "u0"), ("a b", "u1"), ("c=", "u0"), ("c=", "u1")]
+    known = reports.report_manifest(spark, str(tmp_path), report_folders=True)
+    assert rows(known.select("report", "model").distinct()) == [("a b", "a b"), ("c=", "c=")]
+    assert workflows.process_reports(spark, str(tmp_path), report_folders=True)["metadata"].count() == 6
+    success = workflows.evaluate_reports(spark, str(tmp_path), report_folders=True)["entity_success"]
+    assert [r.report for r in success.collect()] == ["a b", "c="]
+
+
 def test_names(spark):
     paths = ["/a/b/P1-X_results.csv", "/a/with%20blank+plus_1.csv", "noext", "s3://x/y.z/m_1_2.csv"]
     frame = spark.createDataFrame([(p,) for p in paths], "p string")

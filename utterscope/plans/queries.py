@@ -204,13 +204,14 @@ def _written_reports(spark: SparkSession, sf_dir: str) -> str:
 
 def _report_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys and values above the tables of the written reports, and how many reports have them."""
-    found = reports.key_values(reports.preamble(spark, _written_reports(spark, sf_dir)))
+    lines = reports.preamble(spark, _written_reports(spark, sf_dir), report_folders=True)
+    found = reports.key_values(lines)
     return found.groupBy("key", "value").agg(F.count(F.lit(1)).alias("reports"))
 
 
 def _report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the written reports, split again."""
-    return reports.split_reports(spark, _written_reports(spark, sf_dir)).select(
+    return reports.split_reports(spark, _written_reports(spark, sf_dir), report_folders=True).select(
         F.col("extra")["Document"].cast("long").alias("doc_id"), "utterance", "expected", "matched", "result_type", "reject"
     )
 

@@ -28,10 +28,13 @@ def save(tables: Tables, folder: str) -> None:
         write_csv(table, f"{folder.rstrip('/')}/{name}", parts)
 
 
-def process_reports(spark: SparkSession, paths: Paths) -> Tables:
-    """Raw reports of any number: ``results``, ``metadata``, ``preamble`` and ``rejects``."""
-    split = reports.split_reports(spark, paths)
-    lines = materialize(reports.preamble(spark, paths), "preamble")
+def process_reports(spark: SparkSession, paths: Paths, report_folders: bool = False) -> Tables:
+    """Raw reports of any number: ``results``, ``metadata``, ``preamble`` and ``rejects``.
+
+    Files give their names to reports, or with ``report_folders`` their folders do.
+    """
+    split = reports.split_reports(spark, paths, report_folders)
+    lines = materialize(reports.preamble(spark, paths, report_folders), "preamble")
     return {
         "results": reports.results(split),
         "metadata": reports.key_values(lines),
@@ -65,19 +68,19 @@ def entity_tables(results: DataFrame, reports_known: DataFrame | None = None) ->
     return {name: _with_model(table) for name, table in tables.items()}
 
 
-def evaluate_reports(spark: SparkSession, paths: Paths) -> Tables:
+def evaluate_reports(spark: SparkSession, paths: Paths, report_folders: bool = False) -> Tables:
     """All intent and entity tables straight from raw reports or from split-off result tables."""
-    split = reports.split_reports(spark, paths)
+    split = reports.split_reports(spark, paths, report_folders)
     results = reports.results(split)
     return {
         **intent_tables(results),
-        **entity_tables(results, _usable_reports(spark, paths, split)),
+        **entity_tables(results, _usable_reports(spark, paths, split, report_folders)),
         "rejects": reports.rejects(split),
     }
 
 
-def _usable_reports(spark: SparkSession, paths: Paths, split: DataFrame) -> DataFrame:
-    known = reports.report_manifest(spark, paths).select("report")
+def _usable_reports(spark: SparkSession, paths: Paths, split: DataFrame, report_folders: bool) -> DataFrame:
+    known = reports.report_manifest(spark, paths, report_folders).select("report").distinct()
     return known.join(reports.rejects(split).select("report"), "report", "left_anti")
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterscope.sources.files import file_stem
+from utterscope.sources.files import file_stem, folder_name
 from utterscope.sources.intermediate import materialize
 from utterscope.sources.quoted import NO_HEADER, NOT_TEXT, UNCLOSED, Record, read_records, records_of
 
@@ -59,10 +59,7 @@ def _unscanned(listed: DataFrame) -> DataFrame:
 
 def _label_of(path: Column, label_folders: bool, extension: str) -> Column:
     if label_folders:
-        folder = file_stem(F.concat(F.regexp_extract(path, "([^/]+)/[^/]*$", 1), F.lit(".x")))
-        # The folder of a partition holds its value with escapes of its own.
-        value = F.url_decode(F.replace(F.regexp_replace(folder, "^[^=]*=", ""), F.lit("+"), F.lit("%2B")))
-        return F.when(F.contains(folder, F.lit("=")), value).otherwise(folder)
+        return folder_name(path)
     for kind in PACKED:
         if extension.endswith(kind):
             path = F.regexp_replace(path, rf"\Q{kind}\E$", "")

@@ -18,6 +18,14 @@ def file_stem(path: Column) -> Column:
     return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
+def folder_name(path: Column) -> Column:
+    """The name of the folder that holds a file; that of a partition (``x=value``) counts as its value."""
+    folder = file_stem(F.concat(F.regexp_extract(path, "([^/]+)/[^/]*$", 1), F.lit(".x")))
+    # The folder of a partition holds its value with escapes of its own.
+    value = F.url_decode(F.replace(F.regexp_replace(folder, "^[^=]*=", ""), F.lit("+"), F.lit("%2B")))
+    return F.when(F.contains(folder, F.lit("=")), value).otherwise(folder)
+
+
 def model_name(stem: Column) -> Column:
     """The part of a report name up to the first underscore."""
     return F.substring_index(stem, "_", 1)

@@ -304,7 +304,7 @@ def _joined_fragments(pieces: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _same_parts(spark: SparkSession) -> Iterator[None]:
+def same_parts(spark: SparkSession) -> Iterator[None]:
     """Files are cut alike by all jobs inside, even if the cluster grows or shrinks meanwhile."""
     before = spark.conf.get(PARTITIONS_SETTING, None)
     spark.conf.set(PARTITIONS_SETTING, before or str(spark.sparkContext.defaultParallelism))
@@ -339,7 +339,7 @@ def read_records(
         F.monotonically_increasing_id().alias("row"),
         F.col("value").alias("line"),
     )
-    with _same_parts(spark):
+    with same_parts(spark):
         maps = materialize(lines.mapInArrow(_part_maps(header_cell), PART), "part-maps")
         parts = materialize(_placed(maps), "parts")
         known = F.struct("first", "n", "header", "header_part", "ahead", "fault").alias("known")

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from utterscope.functions.text import strip, unquote
-from utterscope.sources.files import file_stem, model_name
+from utterscope.sources.files import file_stem, folder_name, model_name
 from utterscope.sources.intermediate import BROADCAST_LIMIT_BYTES, broadcast_if_small, materialize
-from utterscope.sources.quoted import NO_HEADER, read_records
+from utterscope.sources.quoted import NO_HEADER, read_records, same_parts
 
 # The first cell of the header row, the columns of the result table with the names
 # used by the operators, and the suffix of the tables of a split report.
@@ -44,12 +44,19 @@ def report_name(stem: Column) -> Column:
     return F.regexp_replace(stem, f"{RESULTS_SUFFIX}\\z", "")
 
 
-def split_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def _report_of(path: Column, report_folders: bool) -> Column:
+    return folder_name(path) if report_folders else report_name(file_stem(path))
+
+
+def split_reports(spark: SparkSession, paths: str | list[str], report_folders: bool = False) -> DataFrame:
     """Rows of the result tables of reports, and one row with ``reject`` per unusable report.
 
     Columns: ``report``, those of :data:`RESULT_COLUMNS`, ``extra`` with the other columns of the
     table, and ``reject``. Tables that are already split off are reports with an empty preamble.
 
+    The file name gives the report, or with ``report_folders`` the name of its folder (``report=x`` counts as
+    ``x``): files that a partitioned write leaves in several folders may all have the same name.
+
     The table begins at the first line whose first cell is :data:`HEADER_CELL`; what stands above it
     may hold any quotes. Reports of any size are read in parallel parts, see
     :func:`utterscope.sources.quoted.read_records`. Tables may have any width and no cell is lost: in
@@ -80,7 +87,7 @@ def split_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
     nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[1:-1]]
     faults = read.where(F.col("fault").isNotNull()).select("path", *nothing, F.col("fault").alias("reject"))
-    report = report_name(file_stem(F.col("path"))).alias("report")
+    report = _report_of(F.col("path"), report_folders).alias("report")
     return rows.unionByName(faults).select(report, *rows.columns[1:])
 
 
@@ -137,25 +144,28 @@ def rejects(split: DataFrame) -> DataFrame:
     return split.where(F.col("reject").isNotNull()).select("report", "reject")
 
 
-def report_manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def report_manifest(spark: SparkSession, paths: str | list[str], report_folders: bool = False) -> DataFrame:
     """``report, model, bytes`` of every file. Contents are not read."""
-    stem = file_stem(F.col("path"))
+    name = folder_name(F.col("path")) if report_folders else file_stem(F.col("path"))
     return (
         spark.read.format("binaryFile")
         .load(paths)
         .select(
-            report_name(stem).alias("report"),
-            model_name(stem).alias("model"),
+            _report_of(F.col("path"), report_folders).alias("report"),
+            model_name(name).alias("model"),
             F.col("length").alias("bytes"),
         )
     )
 
 
-def preamble(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def preamble(spark: SparkSession, paths: str | list[str], report_folders: bool = False) -> DataFrame:
     """``report, line_no, line``: the lines above the header row, unchanged.
 
+    ``report_folders`` names reports as in :func:`split_reports`. Lines are numbered through all files of a
+    report, in the order of their paths.
+
     Lines are read in parallel parts of a file. Their order is (start of the part, position in the
-    part); the first header line of each file bounds its preamble.
+    part); the first header line of each file bounds its preamble. The result is a stored table.
     """
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"),
@@ -169,14 +179,14 @@ def preamble(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     headers = (
         lines.where(first_cell == HEADER_CELL).groupBy("path").agg(F.min("at").alias("header_at"))
     )
-    # One row per report. Knowing its size up front keeps the lines from being shuffled to it.
-    headers = broadcast_if_small(materialize(headers, "headers"), PATH_ROW_BYTES)
-    above = lines.join(headers, "path").where(F.col("at") < F.col("header_at"))
-    # Only preamble lines are numbered here, a handful per report.
-    earlier = F.row_number().over(Window.partitionBy("path").orderBy("at"))
-    return above.select(
-        file_stem(F.col("path")).alias("report"), earlier.alias("line_no"), "line"
-    )
+    with same_parts(spark):
+        # One row per file. Knowing its size up front keeps the lines from being shuffled to it.
+        headers = broadcast_if_small(materialize(headers, "headers"), PATH_ROW_BYTES)
+        above = materialize(lines.join(headers, "path").where(F.col("at") < F.col("header_at")), "above-headers")
+    named = above.withColumn("report", folder_name(F.col("path")) if report_folders else file_stem(F.col("path")))
+    # Only preamble lines are numbered here, a handful per file.
+    earlier = F.row_number().over(Window.partitionBy("report").orderBy("path", "at"))
+    return named.select("report", earlier.alias("line_no"), "line")
 
 
 def key_values(lines: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import MEDIUM, rows
 
@@ -181,6 +183,49 @@ def test_signed_hashing(spark):
     assert encoding.hashed_tfidf(frame.limit(0)).collect() == []
 
 
+def test_hashing_holds_little_of_a_large_batch():
+    texts = [["a", f"w{i % 50}"] * 500 for i in range(1000)] + [["a"] * (encoding.AT_ONCE + 5), []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "terms"])
+    tracemalloc.start()
+    parts = list(encoding._counts(16)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * 2**20  # 88 MB for all terms in one go
+    got = pa.Table.from_batches(parts).to_pylist()
+    assert [r["doc_id"] for r in got] == list(range(len(texts)))
+
+    def place(term):
+        digest = hashlib.md5(term.encode()).hexdigest()
+        return int(digest[:8], 16) % 16, 1 - 2 * (int(digest[8], 16) % 2)
+
+    for text, row in zip(texts, got):
+        sums = {}
+        for term in set(text):
+            pos, sign = place(term)
+            sums[pos] = sums.get(pos, 0) + sign * text.count(term)
+        assert dict(zip(row["positions"], row["counts"])) == sums
+
+
+def test_hashing_takes_texts_in_small_batches(spark, monkeypatch):
+    plain, limit = encoding._counts, encoding.BATCH_TEXTS
+
+    def counts(dimensions):
+        task = plain(dimensions)
+
+        def limited(batches):
+            for batch in batches:
+                assert batch.num_rows <= limit
+                yield from task([batch])
+
+        return limited
+
+    monkeypatch.setattr(encoding, "_counts", counts)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    frame = spark.range(0, 2 * limit + 1, 1, 1).selectExpr("id as doc_id", "concat('a w', id) as text")
+    assert encoding.hashed_tfidf(frame).count() == 2 * limit + 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_stored_sketches_unite(spark, tmp_path):
     def part(first, last, label):
         return [("train", label, " ".join(f"w{i}" for i in range(first, last)))]

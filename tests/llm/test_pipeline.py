@@ -2,12 +2,16 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 from test_near_dedup import brute as plain_components
 
 import corpus_pipeline
+from utterscope.llm import toxicity
+from utterscope.llm.common import BATCH_ROWS, BATCH_SETTING, released, slices
 from utterscope.llm.mixing import MAX_EPOCHS, SEED, WEIGHTS, mix
 from utterscope.llm.toxicity import score_documents
 
@@ -131,3 +135,35 @@ def test_the_pipeline_is_that_of_plain_stages(spark):
         assert max(Counter(source[r.doc_id] for r in own).values()) <= 4
     whole = corpus_pipeline.run(spark, SMALL)
     assert Counter((r.doc_id, r.piece, r.words) for r in whole.collect()) == Counter((r.doc_id, r.piece, r.words) for r in pieces)
+
+
+def test_toxic_texts_are_scored_in_small_batches(spark, monkeypatch):
+    limit = BATCH_ROWS
+
+    class Limited:
+        def scores(self, texts):
+            assert len(texts) <= limit
+            return np.zeros(len(texts))
+
+    monkeypatch.setattr(toxicity, "train", lambda *args, **options: Limited())
+    before = spark.conf.get(BATCH_SETTING)
+    docs = spark.range(0, 2 * limit + 1, 1, 1).selectExpr("id as doc_id", "concat('a w', id) as text")
+    kept = corpus_pipeline.drop_toxic(spark, docs, SMALL)
+    assert kept.columns == docs.columns and kept.count() == 2 * limit + 1
+    assert kept.exceptAll(docs).isEmpty()
+    assert spark.conf.get(BATCH_SETTING) == before
+
+
+def test_tasks_work_on_bounded_texts_and_return_memory(monkeypatch):
+    texts = pa.array(["x" * 1000] * 2000 + ["y" * 3_000_000, None, ""])
+    parts = [texts[part] for part in slices(texts)]
+    assert pa.concat_arrays(parts).equals(texts)
+    assert all(len(part) == 1 or sum(len(t or "") for t in part.to_pylist()) <= 512 * 1024 for part in parts)
+    calls = []
+
+    class Pool:
+        def release_unused(self):
+            calls.append(1)
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    assert list(released(iter)([1, 2])) == [1, 2] and calls == [1]

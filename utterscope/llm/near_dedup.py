@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from utterscope.llm.common import fresh_names, save, slices, small
+from utterscope.llm.common import fresh_names, released, save, slices, small
 from utterscope.llm.components import components
 
 WORDS = 5
@@ -293,10 +293,10 @@ def _links(reps: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -
 
     renamed = pairs.select(F.col("rep").alias("a"), F.col("centre").alias("b"))
     likely = save(
-        with_both(renamed, reps, "minima").mapInArrow(_agreeing(percent), "a long, b long"), "near-likely"
+        with_both(renamed, reps, "minima").mapInArrow(released(_agreeing(percent)), "a long, b long"), "near-likely"
     )
     first = save(
-        with_both(likely, sets, "shingles").mapInArrow(_confirmed(percent), "a long, b long"), "near-links"
+        with_both(likely, sets, "shingles").mapInArrow(released(_confirmed(percent)), "a long, b long"), "near-links"
     )
     named = components(first)
     placed = save(
@@ -330,8 +330,8 @@ def _links(reps: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -
         return members.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
 
     with_minima = in_runs(dealt.join(reps.select("rep", "minima"), "rep"))
-    kept = save(with_minima.mapInArrow(_promising(percent), with_minima.schema), "near-promising")
-    second = in_runs(kept.join(sets, "rep")).mapInArrow(_joining(percent), "a long, b long")
+    kept = save(with_minima.mapInArrow(released(_promising(percent)), with_minima.schema), "near-promising")
+    second = in_runs(kept.join(sets, "rep")).mapInArrow(released(_joining(percent)), "a long, b long")
     return first.unionByName(save(second, "near-late-links"))
 
 
@@ -366,7 +366,7 @@ def _near_dedup(
     )
     sketches = save(
         rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", "text").mapInArrow(
-            _sketch(words), SKETCH
+            released(_sketch(words)), SKETCH
         ),
         "near-sketches",
     )
@@ -400,7 +400,7 @@ def _near_dedup(
         small(wanted, 48), rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["text_hash"] == F.col("_hash"))
     ).select("rep", "text")
     # Repeated rows give a representative's set more than once.
-    sets = save(texts.mapInArrow(_sets(words), SET).dropDuplicates(["rep"]), "near-sets")
+    sets = save(texts.mapInArrow(released(_sets(words)), SET).dropDuplicates(["rep"]), "near-sets")
     named = components(_links(reps, sets, members, percent))
 
     lows = (

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
 
-from utterscope.llm.common import save, slices
+from utterscope.llm.common import save, slices, small_batches
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -289,9 +289,10 @@ def train(
                 out[i] = row
         return pd.Series(out)
 
-    rows = (
-        sample.select("doc_id", "toxic", "half", measured("text", "half").alias("x")).orderBy("doc_id").collect()
-    )  # at most sample_rows
+    with small_batches(documents.sparkSession):
+        rows = (
+            sample.select("doc_id", "toxic", "half", measured("text", "half").alias("x")).orderBy("doc_id").collect()
+        )  # at most sample_rows
     y = np.array([r["toxic"] for r in rows], float)
     x = np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES))
     half = np.array([r["half"] for r in rows], int)
@@ -317,7 +318,9 @@ def score_documents(
 
     @arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(model.scores(text), pa.float64())
+        scores = pa.array(model.scores(text), pa.float64())
+        pa.default_memory_pool().release_unused()
+        return scores
 
     added = ("held_out", "score", "predicted")
     return documents.select(
